@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, map_texts
 
 NAME = "op2_bpe_encode_decode"
 ORACLE_SQL = None  # merges by rank are not expressible; tests compare with the public library
@@ -275,27 +274,21 @@ def tokenizer(path: str | None = None) -> BpeTokenizer:
 def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row; null text counts as empty and gives an empty array."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> dict[str, list]:
         t = tokenizer(path)
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "ids": [t.encode(x or "") for x in batch["text"]]})
+        return {"ids": [t.encode(x or "") for x in texts]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInPandas(run, f"id {kind}, ids array<int>")
-    return out.withColumnRenamed("id", id_col)
+    return map_texts(df, work, "ids array<int>", text_col, (id_col,))
 
 
 def decode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) decoded from an array of ids; null counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(ids: list[list[int] | None]) -> dict[str, list]:
         t = tokenizer(path)
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "text": [t.decode(x if x is not None else ()) for x in batch["ids"]]})
+        return {"text": [t.decode(x or ()) for x in ids]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInPandas(run, f"id {kind}, text string")
-    return out.withColumnRenamed("id", id_col)
+    return map_texts(df, work, "text string", ids_col, (id_col,))
 
 
 def bpe_digests(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -306,27 +299,23 @@ def bpe_digests(df: DataFrame, path: str | None = None) -> DataFrame:
     give repeated results; columns besides doc_id and text are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> dict[str, list]:
         t = tokenizer(path)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                pieces = t.pieces(text or "")
-                ids = " ".join([p[0] for p in pieces])
-                decoded = " ".join([p[2] for p in pieces])
-                rows.append((
-                    sum([p[1] for p in pieces]),
-                    hashlib.sha256(ids.encode()).hexdigest(),
-                    hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
-                    len((text or "").encode("utf-8", "surrogatepass")),
-                ))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "utf8_bytes"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return df.select(df["doc_id"].cast("long"), "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8_bytes long"
-    )
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "utf8_bytes": []}
+        for text in texts:
+            text = text or ""
+            pieces = t.pieces(text)
+            out["n_tokens"].append(sum([p[1] for p in pieces]))
+            out["ids_sha256"].append(_sha256(" ".join([p[0] for p in pieces])))
+            out["decoded_sha256"].append(_sha256(" ".join([p[2] for p in pieces])))
+            out["utf8_bytes"].append(len(text.encode("utf-8")))
+        return out
+
+    return map_texts(df, work, "n_tokens long, ids_sha256 string, decoded_sha256 string, utf8_bytes long")
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

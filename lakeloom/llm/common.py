@@ -41,3 +41,34 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` unchanged, and what `work` makes of each text, in Arrow batches.
+
+    work(list of str or None) gives a dict of column name -> list or Arrow array; `made` is those
+    columns' DDL. Kept columns pass through Arrow untouched, so that null or large ids stay as they
+    are. A batch holds at most as many rows as spark.sql.execution.arrow.maxRecordsPerBatch.
+    """
+    from pyspark.sql import types as T
+
+    out = T.StructType([df.schema[c] for c in keep] + list(T._parse_datatype_string(made).fields))
+    kept = len(keep)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # bounds what Python holds of long texts
+                part = batch.slice(at, 512)
+                new = work(part.column(kept).to_pylist())
+                columns = [part.column(i) for i in range(kept)]
+                columns += [
+                    x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(name).type)
+                    for name, x in ((f.name, new[f.name]) for f in out.fields[kept:])
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return df.select(*[df[c] for c in keep], df[text_col].alias("_text")).mapInArrow(run, out)
