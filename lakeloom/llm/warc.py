@@ -124,7 +124,8 @@ def with_referrals(pages: DataFrame) -> DataFrame:
     ids = keyed.select("page_id", "digest", "payload_bytes").join(
         shared, (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b"))
     ).filter("page_id < top").select(F.col("page_id").alias("_p"), "top").distinct()
-    return keyed.join(ids, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "digest", F.col("top").alias("refers_to"))
+    # Merged at every size: the number of revisits has no bound, so it is never broadcast.
+    return keyed.join(ids.hint("merge"), F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "digest", F.col("top").alias("refers_to"))
 
 
 _SEGMENTS = "segment string, data binary, entries array<struct<urlkey:string,page_id:long,offset:long,length:long>>"
@@ -261,29 +262,38 @@ class Archive:
         return records
 
     def read(self) -> DataFrame:
-        """Every capture of the index, its record read back from its byte range and its digest checked.
+        """Every capture of the index with its record, read back from its byte range, its digest checked.
 
-        (page_id, payload_bytes, payload_digest, record_type, refers_to, url). Index lines are
-        gathered by segment, so that each segment is read once.
+        (page_id, payload_bytes, payload_digest, record_type, refers_to, url). Segments are scanned
+        where they lie and cut at their entries; only the records' facts meet the index lines, by
+        segment and offset, so that no payload is shuffled. An entry without an index line, or the
+        reverse, would give a row too few; `missing` finds those.
         """
-        wanted = self.index_lines().groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
-        joined = self.segments.select("segment", "data").join(wanted, "segment").select("data", "ranges")
-        return joined.mapInArrow(_read_ranges, _RECORDS)
+        facts = self.segments.select("segment", "data", "entries").mapInArrow(_read_ranges, _RECORDS)
+        lines = self.index_lines().select(F.col("segment").alias("_s"), F.col("offset").alias("_o"), F.col("length").alias("_l"))
+        same = (F.col("segment") == F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("length") == F.col("_l"))
+        return facts.join(lines.hint("merge"), same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
+    def missing(self) -> DataFrame:
+        """(segment, offset) that only the segments or only the index has."""
+        own = self.segments.select("segment", F.explode("entries.offset").alias("offset"))
+        listed = self.index_lines().select("segment", "offset")
+        return own.exceptAll(listed).unionByName(listed.exceptAll(own))
 
-_RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+
+_RECORDS = "segment string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 def _read_ranges(batches) -> Iterator:
     import pyarrow as pa
 
     schema = pa.schema([
-        ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+        ("segment", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
         ("refers_to", pa.int64()), ("url", pa.string()),
     ])
     for batch in batches:
         for i in range(batch.num_rows):
-            data, ranges = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            segment, data, ranges = (batch.column(k)[i].as_py() for k in range(3))
             rows = []
             for r in ranges:
                 record = parse_record(zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31))
@@ -292,7 +302,7 @@ def _read_ranges(batches) -> Iterator:
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"payload digest of {record['warc-record-id']} does not match")
                 size = len(payload) if kind == "response" else int(record["x-payload-length"])
-                rows.append((_urn(record["warc-record-id"]), size, digest, kind, _urn(record.get("warc-refers-to")), record["warc-target-uri"]))
+                rows.append((segment, r["offset"], r["length"], _urn(record["warc-record-id"]), size, digest, kind, _urn(record.get("warc-refers-to")), record["warc-target-uri"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 

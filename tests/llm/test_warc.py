@@ -33,6 +33,7 @@ def test_lookup_reads_ranges(spark, tmp_path):
     archive = op.Archive.write(spark.createDataFrame(data, SCHEMA), f"{tmp_path}/a", 3000, 7)
     directory = archive.directory()
     assert len(directory) >= 120 // 7
+    assert archive.missing().count() == 0
     for url in ("same.org", "http://ex3.example.com/p/3?q=1", "http://nowhere.example/"):
         want = sorted(i for i, u, _ in data if u and op.url_key(u) == op.url_key(url))
         found = archive.lookup(url, directory)
