@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with NAME, query(spark, sf_dir) and ORACLE_SQL (None where SQL cannot express the query).
-MODULES = ("bpe", "exact_dedup", "secret_scan", "mixture", "warc", "langid", "flac", "license_scan", "line_dedup")
+MODULES = ("bpe", "exact_dedup", "secret_scan", "mixture", "warc", "langid", "flac", "license_scan", "line_dedup", "near_dup")
 
 
 def _modules():
