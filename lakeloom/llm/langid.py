@@ -29,6 +29,8 @@ WINDOW = 192
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4, 5), 16
 EPOCHS, BATCH, RATE, SEED = 6, 64, 3e-3, 11
 UNDETERMINED = "und"
+#: The pipeline rejects texts without letters, and those whose best language has less than this probability.
+MIN_SCORE = 0.3
 
 
 def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
@@ -224,8 +226,8 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> ByteConvNe
 _nets: dict[int, ByteConvNet] = {}
 
 
-def identify(df: DataFrame, net: ByteConvNet) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score; every whole text is read.
+def identify(df: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: the columns `keep`, held_out, lang_pred, score; every whole text is read.
 
     A null text or one without a letter gives `und` and score 0.0. Only the text is an input of the
     prediction; repeated rows give repeated results and other columns are ignored.
@@ -240,8 +242,24 @@ def identify(df: DataFrame, net: ByteConvNet) -> DataFrame:
         told = _nets[key].predict_texts(texts)
         return {"lang_pred": [a for a, _ in told], "score": [b for _, b in told]}
 
-    shown = df.select(F.col("doc_id"), held_out().alias("held_out"), F.col("text"))
-    return map_texts(shown, work, "lang_pred string, score double", keep=("doc_id", "held_out"))
+    names = [f"_k{i}" for i in range(len(keep))]  # kept columns may be named like the new ones
+    shown = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), held_out().alias("held_out"), F.col("text"))
+    told = map_texts(shown, work, "lang_pred string, score double", keep=(*names, "held_out"))
+    return told.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
+def recognised(df: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """The rows of df, with its columns, whose language is recognised with at least this probability.
+
+    The network learns from df's own labelled rows; without any, all rows with a letter stay.
+    """
+    net = train(df)
+    if not net.classes:
+        return df.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    told = identify(df, net, tuple(df.columns))
+    # by position: kept columns come first and may be named like the new ones
+    told = told.toDF(*df.columns, "_held_out", "_pred", "_score")
+    return told.filter((F.col("_pred") != UNDETERMINED) & (F.col("_score") >= least)).select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
