@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
@@ -74,15 +79,21 @@ def lines(text: Column) -> Column:
 
 def word_shingles(words: Column, size: int, short: str = "whole") -> Column:
     """Distinct runs of `size` words; a shorter text gives one shingle ("whole") or none ("none")."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
-    few = F.array(F.array_join(words, " ")) if short == "whole" else F.expr("cast(array() as array<string>)")
-    return F.when(F.size(words) >= size, F.array_distinct(grams)).otherwise(few)
+    def build(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        few = F.array(F.array_join(w, " ")) if short == "whole" else F.expr("cast(array() as array<string>)")
+        return F.when(F.size(w) >= size, F.array_distinct(grams)).otherwise(few)
+
+    return let(words, build)
 
 
 def char_shingles(text: Column, size: int) -> Column:
     """Distinct runs of `size` characters; a text of at most `size` gives itself."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) > size, F.array_distinct(grams)).otherwise(F.array(text))
+    def build(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, F.lit(size)))
+        return F.when(F.length(t) > size, F.array_distinct(grams)).otherwise(F.array(t))
+
+    return let(text, build)
 
 
 def seeded_fraction(*parts: Column) -> Column:
