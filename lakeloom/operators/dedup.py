@@ -42,10 +42,10 @@ def minhash(shingles: Column, count: int) -> Column:
     """Signature of a shingle array; each shingle is hashed once."""
     hashes = F.transform(shingles, shingle_hash)
 
-    def fold(h: Column) -> Column:
-        return F.array(*[F.array_min(F.transform(h, lambda v, a=a, b=b: (v * F.lit(a) + F.lit(b)) % F.lit(PRIME))) for a, b in coefficients(count)])
+    def permuted(h: Column, a: int, b: int) -> Column:
+        return F.transform(h, lambda v: (v * F.lit(a) + F.lit(b)) % F.lit(PRIME))
 
-    return F.get(F.transform(F.array(hashes), fold), F.lit(0))
+    return X.let(hashes, lambda h: F.array(*[F.array_min(permuted(h, a, b)) for a, b in coefficients(count)]))
 
 
 def bands(signature: Column, rows: int, count: int) -> Column:
