@@ -1,0 +1,101 @@
+"""Training and applying merge tables: counts in Spark, the merge loop on the driver.
+
+The loop works on the distinct pre-tokens and their counts, which grow far more slowly than the
+corpus; `max_types` bounds what is gathered, by count and then alphabet.
+"""
+
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakeloom.operators import text as X
+
+
+def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(token, freq) of lower-cased pre-tokens."""
+    return df.select(F.explode(X.pretokens(F.lower(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def pair_counts(counts: DataFrame) -> DataFrame:
+    """(pair, freq) of adjacent characters, weighted by the pre-tokens' counts."""
+    chars = counts.filter(F.length("token") > 1)
+    at = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")
+    return chars.select("token", "freq", at).groupBy(F.expr("substring(token, i, 2)").alias("pair")).agg(F.sum("freq").alias("freq"))
+
+
+def train_merges(counts: DataFrame, merges: int, min_freq: int = 2, max_types: int = 200_000) -> list[tuple[str, str]]:
+    """The merge table: the most frequent pair first, ties to the smaller pair."""
+    top = counts.orderBy(F.desc("freq"), "token").limit(max_types).collect()
+    words = [(list(r.token), r.freq) for r in top]
+    pairs, where = Counter(), defaultdict(set)
+    for w, (symbols, freq) in enumerate(words):
+        for pair in zip(symbols, symbols[1:], strict=False):
+            pairs[pair] += freq
+            where[pair].add(w)
+    table: list[tuple[str, str]] = []
+    while len(table) < merges and pairs:
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        if pairs[best] < min_freq:
+            break
+        table.append(best)
+        for w in where.pop(best):
+            symbols, freq = words[w]
+            for pair in zip(symbols, symbols[1:], strict=False):
+                pairs[pair] -= freq
+                if pairs[pair] <= 0:
+                    del pairs[pair]
+            joined, i = [], 0
+            while i < len(symbols):
+                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
+                    joined.append(symbols[i] + symbols[i + 1])
+                    i += 2
+                else:
+                    joined.append(symbols[i])
+                    i += 1
+            words[w] = (joined, freq)
+            for pair in zip(joined, joined[1:], strict=False):
+                pairs[pair] += freq
+                where[pair].add(w)
+    return table
+
+
+def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Pieces of a pre-token: the pair of lowest rank is joined everywhere, again and again."""
+    symbols = list(word)
+    while len(symbols) > 1:
+        best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
+        if best not in ranks:
+            break
+        joined, i = [], 0
+        while i < len(symbols):
+            if tuple(symbols[i : i + 2]) == best:
+                joined.append(symbols[i] + symbols[i + 1])
+                i += 2
+            else:
+                joined.append(symbols[i])
+                i += 1
+        symbols = joined
+    return symbols
+
+
+def piece_udf(table: list[tuple[str, str]]):
+    """A column function pre-token -> pieces; meant for distinct pre-tokens that are joined back."""
+    ranks = {p: i for i, p in enumerate(table)}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(word: pd.Series) -> pd.Series:
+        return word.map(lambda w: encode_word(w, ranks))
+
+    return pieces
+
+
+def fertility(df: DataFrame, table: list[tuple[str, str]], group: str = "lang") -> DataFrame:
+    """(group, words, pieces): pieces are made once per distinct pre-token."""
+    words = df.select(group, F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy(group, "token").agg(F.count(F.lit(1)).alias("freq"))
+    sizes = words.select("token").distinct().withColumn("pieces", F.size(piece_udf(table)("token")))
+    return words.join(sizes, "token").groupBy(group).agg(F.sum("freq").alias("words"), F.sum(F.col("freq") * F.col("pieces")).alias("pieces"))
