@@ -33,6 +33,8 @@ BANDS, BAND_ROWS = 20, 4
 STEP, TOLERANCE = 8, 1e-6
 #: Representatives of a block.
 BLOCK_DOCS = 400
+#: Bits of the set that keeps texts out of a shuffle: 4 MB.
+FILTER_BITS = 1 << 25
 
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
@@ -194,6 +196,20 @@ def connected(edges: DataFrame) -> DataFrame:
     return after.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _asked_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in a bit set of fixed size over hashed ids: all that are asked for, and few others.
+
+    The bit set has FILTER_BITS bits however large the input is, so it may be broadcast; it keeps
+    most texts out of the shuffle of the exact join that follows.
+    """
+    slot = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1).alias("_slot")
+    bits = ids.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    placed = rows.select("*", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = placed.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).filter(F.expr("(shiftright(_byte, _at % 8) & 1) = 1"))
+    return hit.select(*rows.columns)
+
+
 _UNIT = "id long, links long, root long"
 
 
@@ -255,7 +271,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("id"), F.col("text"))
     sketched = written(map_texts(rows, sketch, "class_key binary, bands array<long>", keep=("id",)), "sketches")
     # Folded before it is joined: a class of any number of copies is one row a task.
-    classes = sketched.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    # Written, so that the join below has a shuffle of its own whose large partitions can be split.
+    classes = written(sketched.groupBy("class_key").agg(F.min("id").alias("class_id")), "class-ids")
     members = written(sketched.select("id", "class_key").join(classes, "class_key").select("id", "class_id"), "classes")
     representatives = sketched.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
     banded = representatives.select("id", F.explode("bands").alias("band"))
@@ -271,8 +288,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tolerance: floa
         "id", "root", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),
         (F.col("block") > F.col("with")).cast("int").alias("side"),
     )
-    texts = rows.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    units = pairs.join(texts, "id").groupBy("root", "first", "second")
+    pairs = written(pairs, "pairs")
+    texts = _asked_rows(rows, pairs.select("id")).join(pairs.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    units = pairs.join(texts.hint("merge"), "id").groupBy("root", "first", "second")
     compared = written(units.applyInArrow(_compare(threshold, tolerance), _UNIT), "links")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
