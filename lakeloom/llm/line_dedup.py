@@ -100,7 +100,8 @@ def removable_chunks(df: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         F.xxhash64(_text(F.col("ls"), F.col("s.first"), F.col("s.last"))).alias("h"),
     )
     places = written(places, "line-chunks")
-    repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("_h"))
+    # Written, so that the join below has a shuffle of its own whose large partitions can be split.
+    repeated = written(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("_h")), "line-repeats")
     asked = places.join(repeated, F.col("h") == F.col("_h"), "left_semi")
     asked = asked.groupBy("_id", "_tag").agg(F.collect_set(F.struct("first", "last")).alias("asked"))
     asked = asked.select(F.col("_id").alias("_id2"), F.col("_tag").alias("_tag2"), "asked")
