@@ -99,3 +99,117 @@ def fertility(df: DataFrame, table: list[tuple[str, str]], group: str = "lang")
     words = df.select(group, F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy(group, "token").agg(F.count(F.lit(1)).alias("freq"))
     sizes = words.select("token").distinct().withColumn("pieces", F.size(piece_udf(table)("token")))
     return words.join(sizes, "token").groupBy(group).agg(F.sum("freq").alias("words"), F.sum(F.col("freq") * F.col("pieces")).alias("pieces"))
+
+
+SPACE_MARK = "▁"
+
+
+def reversible_pretokens(text: str) -> list[str]:
+    """Pre-tokens that concatenate back to the text: a leading space becomes a mark, a mark is escaped.
+
+    Runs of letters, runs of digits and single other characters; a space before a run is glued to it.
+    """
+    import regex
+
+    escaped = text.replace("\\", "\\\\").replace(SPACE_MARK, "\\m").replace(" ", SPACE_MARK)
+    return regex.findall(rf"{SPACE_MARK}?[\p{{L}}\p{{M}}]+|{SPACE_MARK}?\p{{N}}+|{SPACE_MARK}?[^\p{{L}}\p{{M}}\p{{N}}{SPACE_MARK}]|{SPACE_MARK}", escaped)
+
+
+def restore_text(tokens: list[str]) -> str:
+    """The text of reversible pre-tokens or of any finer pieces of them."""
+    out, text, i = [], "".join(tokens).replace(SPACE_MARK, " "), 0
+    while i < len(text):
+        if text[i] == "\\" and i + 1 < len(text):
+            out.append(SPACE_MARK if text[i + 1] == "m" else text[i + 1])
+            i += 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+class FrozenTokenizer:
+    """A vocabulary of 256 bytes and merges that encodes any text exactly; its hash is checked on loading."""
+
+    BOS, EOS, FIRST_BYTE = 0, 1, 2
+
+    def __init__(self, table: list[tuple[str, str]], alphabet: list[str]):
+        self.table, self.alphabet = [tuple(p) for p in table], sorted(alphabet)
+        self.ranks = {p: i for i, p in enumerate(self.table)}
+        pieces = [*self.alphabet, *dict.fromkeys(a + b for a, b in self.table)]
+        self.ids = {p: self.FIRST_BYTE + 256 + i for i, p in enumerate(pieces)}
+        self.pieces = {i: p for p, i in self.ids.items()}
+
+    def dump(self) -> str:
+        import hashlib
+        import json
+
+        body = json.dumps({"alphabet": self.alphabet, "merges": self.table}, ensure_ascii=False, sort_keys=True)
+        return json.dumps({"body": body, "sha256": hashlib.sha256(body.encode()).hexdigest()})
+
+    @classmethod
+    def load(cls, text: str) -> FrozenTokenizer:
+        import hashlib
+        import json
+
+        outer = json.loads(text)
+        if hashlib.sha256(outer["body"].encode()).hexdigest() != outer["sha256"]:
+            raise ValueError("the tokenizer's hash does not match")
+        body = json.loads(outer["body"])
+        return cls([tuple(p) for p in body["merges"]], body["alphabet"])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; characters outside the alphabet become bytes."""
+        out: list[int] = []
+        for token in reversible_pretokens(text):
+            for piece in encode_word(token, self.ranks):
+                known = self.ids.get(piece)
+                out += [known] if known is not None else [self.FIRST_BYTE + b for b in piece.encode("utf-8")]
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        data = b"".join(self.pieces[i].encode("utf-8") if i in self.pieces else bytes([i - self.FIRST_BYTE]) for i in ids if i >= self.FIRST_BYTE)
+        return restore_text([data.decode("utf-8")])
+
+    def encode_turns(self, turns: list[tuple[str, str]]) -> tuple[list[int], list[str]]:
+        """Ids between begin and end marks, and the role of each id."""
+        ids, roles = [self.BOS], ["control"]
+        for role, body in turns:
+            new = self.encode(body)
+            ids += new
+            roles += [role] * len(new)
+        return [*ids, self.EOS], [*roles, "control"]
+
+
+def freeze(counts: DataFrame, merges: int) -> FrozenTokenizer:
+    """Train on (token, freq) and take the alphabet of the tokens that were seen."""
+    table = train_merges(counts, merges)
+    letters = [r.c for r in counts.select(F.explode(F.split("token", "")).alias("c")).filter("c <> ''").distinct().limit(20_000).collect()]
+    return FrozenTokenizer(table, letters)
+
+
+def plan_vocabularies(options: list[tuple[str, int, float]], cap: int) -> dict[str, tuple[int, float]]:
+    """One (vocabulary, ratio) per language from (language, vocabulary, ratio) options: the smallest spread of
+    ratios whose vocabularies together stay within the cap, then the smallest total.
+
+    For a lowest ratio, widening the spread only adds options, so the least feasible width is found among
+    the differences to the other ratios.
+    """
+    langs = sorted({x for x, _, _ in options})
+    best: tuple[float, int, dict[str, tuple[int, float]]] | None = None
+    for low in sorted({r for _, _, r in options}):
+        for high in sorted({r for _, _, r in options if r >= low}):
+            if best is not None and high - low > best[0]:
+                break
+            pick = {}
+            for lang in langs:
+                fits = [(v, r) for x, v, r in options if x == lang and low <= r <= high]
+                if not fits:
+                    break
+                pick[lang] = min(fits)
+            if len(pick) == len(langs) and sum(v for v, _ in pick.values()) <= cap:
+                found = (high - low, sum(v for v, _ in pick.values()), pick)
+                if best is None or found[:2] < best[:2]:
+                    best = found
+                break
+    return {} if best is None else best[2]
