@@ -165,6 +165,40 @@ def fertility_score(spark, sf):
     return r.agg(micro(F.max("r") - F.min("r")).alias("spread"), micro(1000 / F.nullif(F.max("r") - F.min("r"), F.lit(0.0))).alias("score"))
 
 
+def capacity_curve(spark, sf):
+    """Chance that the right one of m items scores highest at signal d: the integral of phi(x - d) Phi(x)^(m - 1)."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.DoubleType())
+    def normal_cdf(x):
+        return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+
+    x = spark.range(-800, 1601).select((F.col("id") / 100).alias("x")).withColumn("cdf", normal_cdf("x"))
+    cases = spark.createDataFrame([(m, d) for m in (8, 64, 512) for d in range(1, 7)], "m long, d long")
+    # 18 cases
+    phi = F.exp(-(F.col("x") - F.col("d")) * (F.col("x") - F.col("d")) / 2) / math.sqrt(2 * math.pi)
+    return x.join(F.broadcast(cases), how="cross").groupBy("m", "d").agg(F.sum(phi * F.pow("cdf", F.col("m") - 1) * 0.01).alias("p"))
+
+
+def bpe_weight_grid(spark, sf):
+    """Fertility per language when one language's counts are weighted in training."""
+    d = table(spark, sf, "documents")
+    counts = d.select("lang", F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("freq")).persist()
+    out = None
+    for weight in (1, 4):
+        freq = F.col("freq") * F.when(F.col("lang") == "es", weight).otherwise(1)
+        merges = K.train_merges(counts.groupBy("token").agg(F.sum(freq).alias("freq")), 150)
+        one = K.fertility(d, merges).withColumn("weight", F.lit(weight))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def title_normalised(spark, sf):
+    """Titles compared without case, punctuation and runs of white space."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9 ]", " "), " +", " "))
+    return table(spark, sf, "part").select("p_partkey", t.alias("title"))
+
+
 _E = "round(value * 100)::BIGINT"
 _M = "round(({}) * 1000000)::BIGINT".format
 _RUN = f"t AS (SELECT event_type, count(*) AS steps, sum({_E})::BIGINT AS ms, sum(event_id % 64)::BIGINT AS pad FROM events GROUP BY 1)"
@@ -196,5 +230,8 @@ QUERIES = {
     "sentence_chunk_sizes": (sentence_chunk_sizes, None),
     "tokenizer_roundtrip": (tokenizer_roundtrip, None),
     "vocabulary_plan": (vocabulary_plan, None),
+    "capacity_curve": (capacity_curve, None),
+    "bpe_weight_grid": (bpe_weight_grid, None),
+    "title_normalised": (title_normalised, "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS title FROM part"),
     "fertility_score": (fertility_score, rf"WITH w AS (SELECT lang, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents), r AS (SELECT sum(list_sum(list_transform(w, lambda x: length(x)))) / sum(len(w)) AS r FROM w GROUP BY lang) SELECT {_M('max(r) - min(r)')} AS spread, {_M('1000 / nullif(max(r) - min(r), 0)')} AS score FROM r"),
 }
