@@ -54,6 +54,8 @@ def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tupl
 
     out = T.StructType([df.schema[c] for c in keep] + list(T._parse_datatype_string(made).fields))
     kept = len(keep)
+    # A text that is kept too is sent once.
+    at_text = keep.index(text_col) if text_col in keep else kept
 
     def run(batches):
         import pyarrow as pa
@@ -63,7 +65,7 @@ def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tupl
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # bounds what Python holds of long texts
                 part = batch.slice(at, 512)
-                new = work(part.column(kept).to_pylist())
+                new = work(part.column(at_text).to_pylist())
                 columns = [part.column(i) for i in range(kept)]
                 columns += [
                     x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(name).type)
@@ -71,4 +73,5 @@ def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tupl
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.select(*[df[c] for c in keep], df[text_col].alias("_text")).mapInArrow(run, out)
+    sent = [df[c] for c in keep] + ([df[text_col].alias("_text")] if at_text == kept else [])
+    return df.select(*sent).mapInArrow(run, out)

@@ -243,8 +243,9 @@ def identify(df: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_id",
         return {"lang_pred": [a for a, _ in told], "score": [b for _, b in told]}
 
     names = [f"_k{i}" for i in range(len(keep))]  # kept columns may be named like the new ones
-    shown = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), held_out().alias("held_out"), F.col("text"))
-    told = map_texts(shown, work, "lang_pred string, score double", keep=(*names, "held_out"))
+    shown = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), held_out().alias("held_out"), F.col("text").alias("_text_in"))
+    text = names[keep.index("text")] if "text" in keep else "_text_in"
+    told = map_texts(shown, work, "lang_pred string, score double", text, (*names, "held_out"))
     return told.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 

@@ -80,7 +80,7 @@ def shingle_hashes(tokens: list[str], size: int = SHINGLE_WORDS) -> np.ndarray:
     if len(tokens) < size:
         return np.array([xxhash.xxh3_64_intdigest(" ".join(tokens))], np.uint64)
     known = _word_hashes
-    if len(known) > 500_000:
+    if len(known) > 150_000:
         known.clear()
     h = np.empty(len(tokens), np.uint64)
     for i, w in enumerate(tokens):
