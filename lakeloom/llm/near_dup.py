@@ -200,7 +200,7 @@ def _asked_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is in a bit set of fixed size over hashed ids: all that are asked for, and few others.
 
     The bit set has FILTER_BITS bits however large the input is, so it may be broadcast; it keeps
-    most texts out of the shuffle of the exact join that follows.
+    most texts out of the shuffle of the exact join that must follow.
     """
     slot = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1).alias("_slot")
     bits = ids.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
@@ -289,7 +289,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tolerance: floa
         (F.col("block") > F.col("with")).cast("int").alias("side"),
     )
     pairs = written(pairs, "pairs")
-    texts = _asked_rows(rows, pairs.select("id")).join(pairs.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    # No semi join here: the optimizer would move it below the bit set.
+    texts = _asked_rows(rows, pairs.select("id")).groupBy("id").agg(F.min("text").alias("text"))
     units = pairs.join(texts.hint("merge"), "id").groupBy("root", "first", "second")
     compared = written(units.applyInArrow(_compare(threshold, tolerance), _UNIT), "links")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
