@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(df: DataFrame) -> DataFrame:
+    """df with a column _row that is not null, differs from row to row and grows with doc_id (null last).
+
+    Where doc_id itself is so, it is the key. Otherwise rows are sorted by doc_id, digest of the text
+    and the other columns, and written with their place in that order; the last term only spreads
+    equal rows over tasks.
+    """
+    row = F.col("doc_id").cast("long")
+    counts = df.select(row.alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    if counts.filter("_n > 1 or _row is null").isEmpty():
+        return df.withColumn("_row", row)
+    others = [F.col(f.name) for f in df.schema.fields if f.name not in ("doc_id", "text") and f.dataType.typeName() != "map"]
+    ordered = df.orderBy(row.asc_nulls_last(), F.sha2(F.col("text"), 256), *others, F.monotonically_increasing_id())
+    return written(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` unchanged, and what `work` makes of each text, in Arrow batches.
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, row_keyed
 
 NAME = "op6_exact_dedup"
 
@@ -201,9 +201,14 @@ def exact_dedup(df: DataFrame) -> DataFrame:
 
 
 def kept_documents(df: DataFrame) -> DataFrame:
-    """The rows of df that stay, each doc_id once, with all columns of df."""
-    decided = exact_dedup(df).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(decided, df["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of df that stay, one of each text, with all columns of df.
+
+    Rows are decided one by one: of rows repeated with the same doc_id and text one stays, rows with
+    the same doc_id and other texts do not share their fate, nor do rows whose doc_id is null.
+    """
+    rows = row_keyed(df)
+    decided = exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return rows.join(decided, rows["_row"] == F.col("_kept_id"), "left_semi").drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

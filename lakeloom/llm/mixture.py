@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, row_keyed
 
 NAME = "op8_mix_sources"
 ORACLE_SQL = None  # apportionment by quotients is iterative; tests compare with a step-by-step version
@@ -126,18 +126,20 @@ def _shard_plan(block: int, repeats: int):
 
 def mix_sources(
     df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
     Rows without words have size and taken 0; a null source is a source of its own, the last. Rows
-    repeated with the same doc_id are ordered by size and share or split the words as separate
-    documents. An empty table gives no rows; other columns are ignored. Results depend on doc_id,
-    source, text and seed alone, not on partitioning.
+    repeated with the same doc_id are ordered by size, then by the columns `keep`, and share or split
+    the words as separate documents. An empty table gives no rows; columns besides `keep`, which are
+    given out too, are ignored. Results depend on doc_id, source, text and seed alone, not on
+    partitioning.
     """
     # Only ids and counts are shuffled; a source of any weight is spread over its shards.
     rows = df.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("draw"),
+        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("draw"), *keep,
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = sources.groupBy().applyInPandas(
@@ -153,22 +155,26 @@ def mix_sources(
     )
     quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "shard_words")
     dealt = planned.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left")
-    order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("size").over(order)
     passes = F.floor(F.col("shard_words") / F.greatest("shard_size", F.lit(1)))
     head = F.col("shard_words") - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), head - (F.col("end") - F.col("size"))))
     return dealt.withColumn("end", end).select(
-        "doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), *keep
     )
 
 
 def mixed_documents(df: DataFrame) -> DataFrame:
-    """The documents of the mix with df's columns: each as often as the words taken from it fill it, rounded half up."""
-    taken = mix_sources(df).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("_copies")
+    """The documents of the mix with df's columns: each as often as the words taken from it fill it, rounded half up.
+
+    Rows that share a doc_id, or have none, stand for themselves: each in the copies of its own words.
+    """
+    rows = row_keyed(df)
+    taken = mix_sources(rows, keep=("_row",)).filter("taken > 0").select(
+        F.col("_row").alias("_id"), F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("_copies")
     ).filter("_copies > 0")
-    out = df.join(taken, df["doc_id"] == F.col("_id"))
+    out = rows.join(taken, rows["_row"] == F.col("_id"))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
 
 

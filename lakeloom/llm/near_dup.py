@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, written
+from .common import documents, map_texts, row_keyed, written
 
 NAME = "op1_ngram_jaccard_join"
 
@@ -304,9 +304,14 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tolerance: floa
 
 
 def one_of_each_group(df: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id represents its near-duplicate group; texts without words are a group too."""
-    keep = near_duplicates(df).filter("doc_id <=> group_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(keep, df["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of df that represent their near-duplicate group; texts without words are a group too.
+
+    A group's first row by doc_id (null last) stays. Rows that share a doc_id, and rows whose doc_id
+    is null, are documents of their own.
+    """
+    rows = row_keyed(df)
+    keep = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return rows.join(keep, rows["_row"] == F.col("_kept_id"), "left_semi").drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

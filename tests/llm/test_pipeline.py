@@ -61,3 +61,40 @@ def test_empty_table(spark, tmp_path):
     folder = saved(spark.createDataFrame([], DOCUMENTS), tmp_path)
     assert corpus_pipeline.run(spark, folder).count() == 0
     assert langid.MIN_SCORE < 1 and near_dup.THRESHOLD == 0.8
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    data = [r for r in rows() if r[0] < 120]
+    # a tenth without doc_id, another tenth with the doc_id of a row of another text, some rows three times
+    data = [(None if r[0] % 10 == 3 else r[0] - 1 if r[0] % 10 == 5 else r[0], *r[1:]) for r in data]
+    data += [r for r in data[::15] for _ in range(2)]
+    folder = saved(spark.createDataFrame(data, DOCUMENTS).repartition(3), tmp_path)
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs
+
+    def order(r):
+        return r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()
+
+    groups = {}
+    for r in seen["language_id"].collect():
+        groups.setdefault("".join(c for c in r[1] if c not in exact_dedup.WHITE), []).append((-len(r[1]), order(r), tuple(r)))
+    kept = sorted((min(g)[2] for g in groups.values()), key=order)
+    assert Counter(map(tuple, seen["exact_dedup"].collect())) == Counter(kept)
+    near = brute_near([r[1] for r in kept])
+    want = [kept[i] for i in sorted({g for _, _, g in near.values()})]
+    assert Counter(map(tuple, seen["near_dup"].collect())) == Counter(want)
+    assert sum(r[0] is None for r in want) > 5 and max(Counter(r[0] for r in want if r[0] is not None).values()) > 1
+    copies = Counter()
+    for r in mixture.mix_sources(seen["near_dup"]).collect():
+        copies[r.doc_id, r.size] += int(r.taken / r.size + 0.5)
+    mixed = [tuple(r) for r in seen["mix_sources"].collect()]
+    assert Counter((r[0], len(r[1].split())) for r in mixed) == +copies and set(mixed) <= set(want)
+    assert any(r[0] is None for r in mixed)
+    tokenizer = bpe.tokenizer()
+    digests = Counter(hashlib.sha256(" ".join(map(str, tokenizer.encode(r[1]))).encode()).hexdigest() for r in mixed)
+    assert Counter(r.ids_sha256 for r in corpus_pipeline.run(spark, folder).collect()) == digests
