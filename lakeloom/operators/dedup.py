@@ -69,6 +69,17 @@ def band_pairs(df: DataFrame, rows: int, count: int) -> DataFrame:
     return left.join(right, ["band", "key"]).filter("a < b").select("a", "b").distinct()
 
 
+def need_checkpoint_folder(df: DataFrame) -> None:
+    """Only a local master without a checkpoint folder gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
+
+
 def survivors(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(doc_id, removed_by): the survivors have null, the others their smallest surviving neighbour.
 
@@ -76,12 +87,7 @@ def survivors(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Data
     go; the rounds needed grow with the longest chain of ever larger neighbours. State is written to
     the checkpoint folder in each round.
     """
-    if nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        if not nodes.sparkSession.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        nodes.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
+    need_checkpoint_folder(nodes)
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     open_edges, gone, kept = edges, None, []
     for _ in range(max_rounds):

@@ -1,7 +1,7 @@
 """Training and applying merge tables: counts in Spark, the merge loop on the driver.
 
-The loop works on the distinct pre-tokens and their counts, which grow far more slowly than the
-corpus; `max_types` bounds what is gathered, by count and then alphabet.
+The loop works on the distinct pre-tokens and their counts. The `max_types` most frequent are gathered;
+the others stay in Spark and send the changes of their pair counts, so that all types count.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.operators import text as X
+from lakeloom.operators.dedup import need_checkpoint_folder
 
 
 def pretoken_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -28,39 +29,96 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return chars.select("token", "freq", at).groupBy(F.expr("substring(token, i, 2)").alias("pair")).agg(F.sum("freq").alias("freq"))
 
 
+def _joined(symbols: list[str], best: tuple[str, str]) -> list[str]:
+    joined, i = [], 0
+    while i < len(symbols):
+        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
+            joined.append(symbols[i] + symbols[i + 1])
+            i += 2
+        else:
+            joined.append(symbols[i])
+            i += 1
+    return joined
+
+
+def _pair_changes(rest: DataFrame, table: list[tuple[str, str]]) -> list:
+    """Rows (a, b, freq): what the last merge of the table changes in the pair counts of rest; without merges, the counts.
+
+    Types are merged anew from their characters, so that no state is kept between merges; only those
+    that contain the merged text are looked at.
+    """
+    table = list(table)
+
+    def run(batches):
+        import pyarrow as pa
+
+        changes = Counter()
+        for batch in batches:
+            for token, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                symbols = list(token)
+                for pair in table[:-1]:
+                    if pair[0] + pair[1] in token:
+                        symbols = _joined(symbols, pair)
+                after = _joined(symbols, table[-1]) if table else symbols
+                if table and len(after) == len(symbols):
+                    continue
+                for pair in zip(symbols, symbols[1:], strict=False) if table else ():
+                    changes[pair] -= freq
+                for pair in zip(after, after[1:], strict=False):
+                    changes[pair] += freq
+        changed = [(a, b, n) for (a, b), n in changes.items() if n]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([c[0] for c in changed], pa.string()), pa.array([c[1] for c in changed], pa.string()), pa.array([c[2] for c in changed], pa.int64())],
+            names=["a", "b", "freq"],
+        )
+
+    if table:
+        rest = rest.filter(F.contains("token", F.lit(table[-1][0] + table[-1][1])))
+    changes = rest.select("token", F.col("freq").cast("long")).mapInArrow(run, "a string, b string, freq long")
+    return (changes if table else changes.groupBy("a", "b").agg(F.sum("freq").alias("freq"))).collect()
+
+
 def train_merges(counts: DataFrame, merges: int, min_freq: int = 2, max_types: int = 200_000) -> list[tuple[str, str]]:
-    """The merge table: the most frequent pair first, ties to the smaller pair."""
-    top = counts.orderBy(F.desc("freq"), "token").limit(max_types).collect()
+    """The merge table: the most frequent pair first, ties to the smaller pair.
+
+    At most max_types types are gathered; types beyond them are counted in Spark, in one job per merge.
+    """
+    top, rest = counts.orderBy(F.desc("freq"), "token").limit(max_types + 1).collect(), None
+    if len(top) > max_types:
+        need_checkpoint_folder(counts)
+        counts = counts.groupBy("token").agg(F.sum("freq").alias("freq")).checkpoint()
+        top = counts.orderBy(F.desc("freq"), "token").limit(max_types).collect()
+        last = top[-1]
+        rest = counts.filter((F.col("freq") < last.freq) | ((F.col("freq") == last.freq) & (F.col("token") > last.token)))
     words = [(list(r.token), r.freq) for r in top]
     pairs, where = Counter(), defaultdict(set)
     for w, (symbols, freq) in enumerate(words):
         for pair in zip(symbols, symbols[1:], strict=False):
             pairs[pair] += freq
             where[pair].add(w)
+    for r in _pair_changes(rest, []) if rest is not None else ():
+        pairs[r.a, r.b] += r.freq
     table: list[tuple[str, str]] = []
     while len(table) < merges and pairs:
         best = min(pairs, key=lambda p: (-pairs[p], p))
         if pairs[best] < min_freq:
             break
         table.append(best)
-        for w in where.pop(best):
+        for w in where.pop(best, ()):
             symbols, freq = words[w]
             for pair in zip(symbols, symbols[1:], strict=False):
                 pairs[pair] -= freq
                 if pairs[pair] <= 0:
                     del pairs[pair]
-            joined, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    joined.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    joined.append(symbols[i])
-                    i += 1
+            joined = _joined(symbols, best)
             words[w] = (joined, freq)
             for pair in zip(joined, joined[1:], strict=False):
                 pairs[pair] += freq
                 where[pair].add(w)
+        for r in _pair_changes(rest, table) if rest is not None else ():
+            pairs[r.a, r.b] += r.freq
+            if pairs[r.a, r.b] <= 0:
+                del pairs[r.a, r.b]
     return table
 
 
@@ -184,7 +242,7 @@ class FrozenTokenizer:
 def freeze(counts: DataFrame, merges: int) -> FrozenTokenizer:
     """Train on (token, freq) and take the alphabet of the tokens that were seen."""
     table = train_merges(counts, merges)
-    letters = [r.c for r in counts.select(F.explode(F.split("token", "")).alias("c")).filter("c <> ''").distinct().limit(20_000).collect()]
+    letters = [r.c for r in counts.select(F.explode(F.split("token", "")).alias("c")).filter("c <> ''").distinct().collect()]
     return FrozenTokenizer(table, letters)
 
 

@@ -156,3 +156,18 @@ def test_streams_equal_batches(spark, tmp_path):
     events.limit(7).selectExpr("event_id + 100000 as event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     S.ledger_sink(S.read_events(spark, str(tmp_path / "in")), ledger, mark).awaitTermination()
     assert spark.read.parquet(ledger).count() == events.count() + 7
+
+
+def test_merges_count_types_that_are_not_gathered(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))): rng.randint(1, 40) for _ in range(400)}
+    counts = spark.createDataFrame(sorted(words.items()), "token string, freq long")
+    want = K.train_merges(counts, 25)
+    assert len(want) == 25
+    assert K.train_merges(counts, 25, max_types=7) == want
+
+
+def test_frozen_alphabet_is_whole(spark):
+    letters = [chr(0x4E00 + i) for i in range(20_900)]
+    counts = spark.createDataFrame([("".join(letters[i : i + 50]), 1) for i in range(0, len(letters), 50)], "token string, freq long")
+    assert K.freeze(counts, 0).alphabet == sorted(letters)
