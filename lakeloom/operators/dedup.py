@@ -80,24 +80,23 @@ def need_checkpoint_folder(df: DataFrame) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
 
 
-def survivors(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, removed_by): the survivors have null, the others their smallest surviving neighbour.
 
     In each round, every open node without an open smaller neighbour is kept and its open neighbours
-    go; the rounds needed grow with the longest chain of ever larger neighbours. State is written to
-    the checkpoint folder in each round.
+    go, until no edge is open; the rounds needed grow with the longest chain of ever larger neighbours.
+    State is written to the checkpoint folder in each round.
     """
     need_checkpoint_folder(nodes)
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    open_edges, gone, kept = edges, None, []
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
+    open_edges, gone, rounds = edges, None, 0
+    while not open_edges.isEmpty():
         low = open_edges.select(F.col("a").alias("n")).distinct()
         free = low.join(open_edges.select(F.col("b").alias("n")).distinct(), "n", "left_anti").checkpoint()
         hit = open_edges.join(free, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("n")).distinct().checkpoint()
-        kept.append(free)
-        gone = hit if gone is None else gone.unionByName(hit)
+        gone, rounds = hit if gone is None else gone.unionByName(hit), rounds + 1
+        if rounds % 20 == 0:  # keeps the plan short
+            gone = gone.coalesce(8).checkpoint()
         touched = free.unionByName(hit)
         open_edges = open_edges.join(touched, F.col("a") == F.col("n"), "left_anti").join(touched, F.col("b") == F.col("n"), "left_anti").checkpoint()
     if gone is None:

@@ -171,3 +171,10 @@ def test_frozen_alphabet_is_whole(spark):
     letters = [chr(0x4E00 + i) for i in range(20_900)]
     counts = spark.createDataFrame([("".join(letters[i : i + 50]), 1) for i in range(0, len(letters), 50)], "token string, freq long")
     assert K.freeze(counts, 0).alphabet == sorted(letters)
+
+
+def test_survivors_of_a_long_chain(spark):
+    n = 206
+    nodes, edges = spark.createDataFrame([(i,) for i in range(n)], "doc_id long"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    got = {r.doc_id: r.removed_by for r in D.survivors(nodes, edges).collect()}
+    assert got == {i: i - 1 if i % 2 else None for i in range(n)}
