@@ -11,6 +11,8 @@ from lakeloom.session import table
 #: Permutations, band rows and shingle size of the queries below.
 SLOTS, ROWS, SIZE = 16, 2, 5
 BANDS = SLOTS // ROWS
+#: Permutations that find the candidates of survivor selection, in bands of two: a pair at similarity 0.5 shares none with probability 1e-4.
+WIDE = 64
 
 
 def _docs(spark, sf):
@@ -81,22 +83,30 @@ def shingle_jaccard_pairs(spark, sf):
     return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size(F.array_union("sa", "sb")).alias("total")).filter("shared * 10 >= total * 5")
 
 
-def _edges(spark, sf, least):
-    return minhash_estimate(spark, sf).filter(F.col("equal_slots") >= least).select("a", "b")
+def _verified(d):
+    """(a, b, shared, total) of the candidate pairs of d (doc_id, s), counted on their whole shingle sets."""
+    pairs = D.band_pairs(d.select("doc_id", D.minhash(F.col("s"), WIDE).alias("sig")), ROWS, WIDE // ROWS)
+    a, b = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size(F.array_union("sa", "sb")).alias("total"))
+
+
+def _alike(pairs, least):
+    """The pairs whose similarity is at least `least` of SLOTS."""
+    return pairs.filter(F.col("shared") * SLOTS >= F.col("total") * least).select("a", "b")
 
 
 def lfmis_survivors(spark, sf):
-    d = _firsts(spark, sf)
-    return D.survivors(d, _edges(spark, sf, 13))
+    d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
+    return D.survivors(d, _alike(_verified(d), 13))
 
 
 def threshold_sweep(spark, sf):
     """Documents that greedy selection removes at several thresholds."""
-    sig = _signatures(spark, sf)
-    pairs = minhash_estimate(spark, sf).persist()
+    d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
+    pairs = _verified(d).persist()
     out = None
     for least in (8, 11, 13, 15):
-        one = D.survivors(sig, pairs.filter(F.col("equal_slots") >= least).select("a", "b")).agg(F.count("removed_by").alias("removed")).select(F.lit(least).alias("slots"), "removed")
+        one = D.survivors(d, _alike(pairs, least)).agg(F.count("removed_by").alias("removed")).select(F.lit(least).alias("slots"), "removed")
         out = one if out is None else out.unionByName(one)
     return out
 

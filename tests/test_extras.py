@@ -40,3 +40,30 @@ def test_captions_tables_and_chunks():
     assert parser.parts == ["C", "a & b", "c", "F"]
     assert M.sentence_chunks("One. Two! Three? " + "x" * 30 + ".", 12) == ["One. Two!", "Three?", "x" * 30 + "."]
     assert M.sentence_chunks("", 10) == []
+
+
+def test_survivors_are_decided_on_whole_shingle_sets(spark, tmp_path):
+    import random
+
+    from lakeloom.plans import duplicates
+
+    rng, texts = random.Random(9), []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(60)]
+        other = list(words)
+        for at in rng.sample(range(60), k % 4):
+            other[at] = f"new{k}x{at}"
+        texts += [" ".join(words), " ".join(other) + " end"]
+    rows = [(i, t, "s", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = {}
+    for i in range(0, len(texts), 2):
+        a, b = grams(texts[i]), grams(texts[i + 1])
+        want |= {i: None, i + 1: i if len(a & b) * 16 >= len(a | b) * 13 else None}
+    assert 10 < sum(v is not None for v in want.values()) < 50
+    assert {r.doc_id: r.removed_by for r in duplicates.lfmis_survivors(spark, str(tmp_path)).collect()} == want
