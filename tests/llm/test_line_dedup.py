@@ -76,3 +76,15 @@ def test_plan_empty_nulls_and_clashes(spark):
     assert op.dedup_lines(documents(spark, [])).count() == 0
     nulls = documents(spark, ["p q\nr s\nt u\nv w\n" * 9] * 3).selectExpr("cast(null as long) doc_id", "text")
     assert len({r.text for r in op.dedup_lines(nulls).collect()}) == 1
+
+
+def test_recall_on_short_passages_is_as_stated():
+    """The shares of the README, by the rule that test_matches_brute_force_and_sql checks: a statement, not a goal."""
+    rng = random.Random(1)
+    for n, share in ((2, 0.8), (4, 4.3), (6, 13), (10, 29)):
+        gone = 0
+        for k in range(1000):
+            passage = [f"passage {k} line {j} {rng.random()}" for j in range(n)]
+            own = [[f"own {rng.random()}" for _ in range(rng.randint(1, 6))] for _ in range(4)]
+            gone += brute(["\n".join(own[0] + passage + own[1]), "\n".join(own[2] + passage + own[3])])[1][3]
+        assert abs(gone / (10 * n) - share) < 3, n
