@@ -32,32 +32,108 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lakeloom-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path for a table of this application; all of them lie in one folder of the shared one."""
+    return f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that operators of this application have written; their results must not be read after it."""
+    remove(spark, _folder(spark))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    Tables stay until `clean_up`, as results read them; rounds of a loop give a path and remove it.
+    """
     spark = df.sparkSession
-    path = new_path(spark, what)
+    path = path or new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_keyed(df: DataFrame) -> DataFrame:
-    """df with a column _row that is not null, differs from row to row and grows with doc_id (null last).
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as keep it apart from df's, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keyed(df: DataFrame, row_col: str = "_row") -> DataFrame:
+    """df with a column that is not null, differs from row to row and grows with doc_id (null last).
 
     Where doc_id itself is so, it is the key. Otherwise rows are sorted by doc_id, digest of the text
     and the other columns, and written with their place in that order; the last term only spreads
-    equal rows over tasks.
+    equal rows over tasks. The new column must be a free name of df.
     """
     row = F.col("doc_id").cast("long")
-    counts = df.select(row.alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    if counts.filter("_n > 1 or _row is null").isEmpty():
-        return df.withColumn("_row", row)
-    others = [F.col(f.name) for f in df.schema.fields if f.name not in ("doc_id", "text") and f.dataType.typeName() != "map"]
+    counts = df.select(row.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if counts.filter("n > 1 or id is null").isEmpty():
+        return df.withColumn(row_col, row)
+    others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
     ordered = df.orderBy(row.asc_nulls_last(), F.sha2(F.col("text"), 256), *others, F.monotonically_increasing_id())
-    return written(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return written(ordered.withColumn(row_col, F.monotonically_increasing_id()), "rows")
+
+
+def rows_of(df: DataFrame, decide) -> DataFrame:
+    """The rows of df that `decide` keeps, with df's columns.
+
+    decide(docs) gets (doc_id, text), doc_id being a key of each row as `row_keyed` makes it, and
+    gives a frame whose column doc_id holds the keys to keep. Rows are so decided one by one, also
+    where doc_id is null or repeated.
+    """
+    row, kept = free_names(df, "_row", "_kept")
+    rows = row_keyed(df, row)
+    keep = decide(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(kept)).distinct()
+    return rows.join(keep, rows[row] == keep[kept], "left_semi").select(*[rows[f"`{c}`"] for c in df.columns])
+
+
+#: Bits of a set over hashed keys: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+#: Tasks among which a hot key is dealt, and the share of all rows (1 in HOT_KEYS) above which a key is hot.
+SALTS, HOT_KEYS = 32, 500
+
+
+def in_bit_set(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with a column in_set: false only where rows.key is in no row of keys.key (long).
+
+    The set has FILTER_BITS bits however large the input is, so it may be broadcast. It keeps rows
+    out of the exact join that must follow; where it is nearly full it keeps fewer out.
+    """
+    slot = (F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).alias("_slot")
+    bits = keys.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    placed = rows.select("*", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = placed.join(F.broadcast(bits), "_bucket", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    return hit.select(*rows.columns, F.expr("(shiftright(_byte, _at % 8) & 1) = 1").alias("in_set"))
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, spread: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """many join one on key, where `one` has a row per key and a key of `many` may hold most of its rows.
+
+    counts is (key, n) of `many`, total its rows. Keys with more than total / HOT_KEYS rows, of which
+    there are fewer than HOT_KEYS, are broadcast; their rows are dealt by `spread` among SALTS tasks.
+    """
+    hot = F.broadcast(counts.filter(F.col("n") > max(1, total // HOT_KEYS)).select(key, F.lit(True).alias("_hot")))
+    left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def map_texts(df: DataFrame, work, made: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

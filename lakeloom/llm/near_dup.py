@@ -1,15 +1,16 @@
 """N-gram Jaccard join with Bayesian pruning of MinHash comparisons.
 
-1. Documents of equal word sequences form a class; its smallest doc_id represents it, so that copies
-   are never compared.
-2. Representatives get MinHash signatures over word shingles. Bands of a signature that agree link a
-   document to the smallest one with that band; connected components of these links hold all
-   candidates. Only ids and band hashes are shuffled.
-3. A component's texts are gathered in blocks of bounded size; each pair of blocks of a component is
-   one unit of work. In it, signatures of all pairs are compared a few values at a time, and a pair
-   is dropped when the posterior probability that its similarity reaches the threshold falls below
-   a tolerance. The pairs that remain are verified on their full shingle sets.
-4. A unit gives out each document's number of links and a spanning forest of its links, never the
+1. Documents of equal word sequences form a class; its first row represents it, so that copies are
+   never compared.
+2. Representatives get MinHash signatures over word shingles. Those that agree in a band of the
+   signature share a bucket; candidates are the pairs of a bucket, each taken in the first band that
+   the two share. Buckets of equal members are compared once. Only ids and band hashes are shuffled.
+3. Signature and shingle hashes of a document that shares a bucket are made once and go to each of
+   its buckets, at most BANDS rows a document. A large bucket is dealt by hash to blocks of bounded
+   bytes; pairs of blocks meet as packed rows. Signatures are compared a few values at a time, and a
+   pair is dropped when the posterior probability that its similarity reaches the threshold falls
+   below a tolerance. The pairs that remain are verified on their full sets of 64-bit shingle hashes.
+4. A block gives out each document's number of links and a spanning forest of its links, never the
    pairs themselves; components of the forests are the near-duplicate groups.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, row_keyed, written
+from .common import dealt_join, documents, in_bit_set, map_texts, new_path, remove, row_keyed, rows_of, written
 
 NAME = "op1_ngram_jaccard_join"
 
@@ -31,10 +32,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 4
 #: Values compared before each pruning decision, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 8, 1e-6
-#: Representatives of a block.
-BLOCK_DOCS = 400
-#: Bits of the set that keeps texts out of a shuffle: 4 MB.
-FILTER_BITS = 1 << 25
+#: Bytes of signatures and shingle hashes of a block.
+BLOCK_BYTES = 8 << 20
 
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
@@ -138,11 +137,13 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, co
     return tuple(out)
 
 
-def pruned_pairs(sig: np.ndarray, other: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the pairs that pruning leaves: i < j in one block, or all of two blocks."""
+def pruned_pairs(sig: np.ndarray, other: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, band: int | None = None):
+    """Per row i of sig that has any, (i, the rows of other that pruning leaves): later rows of sig itself if other is None.
+
+    With `band`, a pair that agrees in an earlier band is left to that band's bucket.
+    """
     same = other is None
     other = sig if same else other
-    left, right = [], []
     plan = least_matches(threshold, tolerance, sig.shape[1])
     for i in range(len(sig)):
         rest = np.arange(i + 1 if same else 0, len(other))
@@ -150,42 +151,104 @@ def pruned_pairs(sig: np.ndarray, other: np.ndarray | None, threshold: float = T
         for n, least in plan:
             if not len(rest):
                 break
-            matches += (other[rest, before:n] == sig[i, before:n]).sum(1)
+            equal = other[rest, before:n] == sig[i, before:n]
+            matches += equal.sum(1)
             stay = matches >= least
+            if band is not None and before < band * BAND_ROWS:
+                whole = equal.reshape(len(rest), -1, BAND_ROWS).all(2)
+                stay &= ~whole[:, : band - before // BAND_ROWS].any(1)
             rest, matches, before = rest[stay], matches[stay], n
-        left.append(np.full(len(rest), i))
-        right.append(rest)
-    return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
-
-
-def is_similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether the Jaccard similarity of two sorted shingle sets reaches the threshold."""
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(a, b)
-    shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return shared >= threshold * (len(a) + len(b) - shared)
+        if len(rest):
+            yield i, rest
+
+
+class Block:
+    """Documents in order of id: signatures, and shingle hashes end to end."""
+
+    def __init__(self, ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray]):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.sigs = ids[order], sigs[order]
+        sets = [sets[i] for i in order.tolist()]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+
+    def pack(self) -> bytes:
+        return b"".join([len(self.ids).to_bytes(8, "little"), self.ids.tobytes(), self.sizes.tobytes(), self.sigs.tobytes(), self.flat.tobytes()])
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        n = int.from_bytes(data[:8], "little")
+        block = cls.__new__(cls)
+        block.ids, block.sizes = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
+        at = 8 + 16 * n
+        block.sigs = np.frombuffer(data, np.uint32, n * BANDS * BAND_ROWS, at).reshape(n, BANDS * BAND_ROWS)
+        block.flat = np.frombuffer(data, np.uint64, -1, at + block.sigs.nbytes)
+        return block
+
+
+def links_of(one: Block, two: Block | None, threshold: float, tolerance: float, band: int | None) -> tuple[list[int], list[int], list[int]]:
+    """(ids with a link, their numbers of links, the smallest id that links of this block connect to each)."""
+    second = one if two is None else two
+    ids = one.ids if two is None else np.concatenate([one.ids, two.ids])
+    shift = 0 if two is None else len(one.ids)
+    sizes = one.sizes if two is None else np.concatenate([one.sizes, two.sizes])
+    ends = sizes.cumsum()
+    starts = ends - sizes
+    # Shingles as numbers, so that a document is a row of marks.
+    known, flat = np.unique(one.flat if two is None else np.concatenate([one.flat, two.flat]), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    rank = np.argsort(np.argsort(ids))
+    links, label = np.zeros(len(ids), np.int64), rank.copy()
+    for i, rest in pruned_pairs(one.sigs, None if two is None else second.sigs, threshold, tolerance, band):
+        js = rest + shift
+        own = flat[starts[i] : ends[i]]
+        mark[own] = True
+        low, high = int(js[0]), int(js[-1]) + 1
+        if 2 * len(js) >= high - low:  # most of a stretch: count all of it
+            shared = np.add.reduceat(mark[flat[starts[low] : ends[high - 1]]].astype(np.int64), starts[low:high] - starts[low])[js - low]
+        else:
+            shared = np.array([np.count_nonzero(mark[flat[starts[j] : ends[j]]]) for j in js.tolist()])
+        mark[own] = False
+        js = js[shared >= threshold * (sizes[i] + sizes[js] - shared)]
+        if not len(js):
+            continue
+        links[i] += len(js)
+        links[js] += 1
+        met = np.unique(np.append(label[js], label[i]))
+        if len(met) > 1:
+            label[np.isin(label, met[1:])] = met[0]
+    used = np.flatnonzero(links)
+    by_rank = np.sort(ids)
+    return ids[used].tolist(), links[used].tolist(), by_rank[label[used]].tolist()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of edges (a, b): root is the smallest id that is connected to it.
 
-    Rounds of large-star and small-star steps, each written to the shared folder; neighbourhoods are
-    folded by partial aggregation and joins, never gathered in one task.
+    Rounds of large-star and small-star steps, each written to the shared folder, the one before
+    removed; neighbourhoods are folded by partial aggregation and joins that deal a hot node's
+    edges among tasks, never gathered in one task.
     """
+    spark = edges.sparkSession
+
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    path = new_path(spark, "edges")
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", path)
     while True:
         # Large star: link every larger neighbour, and the node, to the smallest of the neighbourhood.
-        near = both(edges)
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        near, total = both(edges), 2 * edges.count()
+        low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        met = dealt_join(near.filter("b > a"), low.select("a", "low"), "a", "b", low.select("a", "n"), total)
+        large = met.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         # Small star: link every smaller neighbour, and the node, to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = written(small.filter("a <> b").distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = dealt_join(large, least.select("a", "low"), "a", "b", least.select("a", "n"), total)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
+        before, path = path, new_path(spark, "edges")
+        after = written(small.filter("a <> b").distinct(), "edges", path)
+        remove(spark, before)
         # Settled: no edge starts where another ends, and every node has one edge.
         one = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         open_ends = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
@@ -196,122 +259,152 @@ def connected(edges: DataFrame) -> DataFrame:
     return after.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _asked_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in a bit set of fixed size over hashed ids: all that are asked for, and few others.
+_LINKS = "id long, links long, root long, band long, k int, block int, packed binary"
 
-    The bit set has FILTER_BITS bits however large the input is, so it may be broadcast; it keeps
-    most texts out of the shuffle of the exact join that must follow.
-    """
-    slot = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1).alias("_slot")
-    bits = ids.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    placed = rows.select("*", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = placed.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).filter(F.expr("(shiftright(_byte, _at % 8) & 1) = 1"))
-    return hit.select(*rows.columns)
+
+def _rows(found, band=None, k=None, block=None, packed=None):
+    """A batch of links, and with `packed` a last row that holds the block itself."""
+    import pyarrow as pa
+
+    ids, links, roots = found
+    n, more = len(ids), packed is not None
+    tail = [None] * n
+    columns = [
+        pa.array(ids + [None] * more, pa.int64()), pa.array(links + [None] * more, pa.int64()), pa.array(roots + [None] * more, pa.int64()),
+        pa.array(tail + [band] * more, pa.int64()), pa.array(tail + [k] * more, pa.int32()), pa.array(tail + [block] * more, pa.int32()),
+        pa.array(tail + [packed] * more, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "links", "root", "band", "k", "block", "packed"])
 
 
-_UNIT = "id long, links long, root long"
+def _within(threshold: float, tolerance: float):
+    """Links in each block of rows (band, k, blocks, block, id, sig, shingles) that come in order of band and block."""
 
+    def finish(key, held):
+        band, block, k, blocks = key
+        ids = np.array([h[0] for h in held], np.int64)
+        sigs = np.stack([np.frombuffer(h[1], np.uint32) for h in held])
+        one = Block(ids, sigs, [np.frombuffer(h[2], np.uint64) for h in held])
+        found = links_of(one, None, threshold, tolerance, k) if len(held) > 1 else ([], [], [])
+        return _rows(found, band, k, block, one.pack() if blocks > 1 else None)
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for band, k, blocks, block, *doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (band, block, k, blocks):
+                    if held:
+                        yield finish(key, held)
+                    key, held = (band, block, k, blocks), []
+                held.append(doc)
+        if held:
+            yield finish(key, held)
+
+    return run
+
+
+def _across(threshold: float, tolerance: float):
+    """Links between the two packed blocks of a unit."""
 
-def _compare(threshold: float, tolerance: float):
     def run(key, table):
         import pyarrow as pa
 
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        shingles = [shingle_hashes(words(t.as_py())) for t in table.column("text")]
-        sigs = np.stack([signature(s) for s in shingles])
-        low, high = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        crossed = key[1].as_py() != key[2].as_py()  # two blocks, of which one may be empty
-        left, right = pruned_pairs(sigs[low], sigs[high] if crossed else None, threshold, tolerance)
-        left, right = low[left], (high if crossed else low)[right]
-        links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
-
-        def top(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            if is_similar(shingles[i], shingles[j], threshold):
-                links[i] += 1
-                links[j] += 1
-                x, y = top(i), top(j)
-                if x != y:
-                    parent[x if ids[x] > ids[y] else y] = y if ids[x] > ids[y] else x
-        used = np.flatnonzero(links)
-        roots = [int(ids[top(i)]) for i in used.tolist()]
-        return pa.table({"id": pa.array(ids[used]), "links": pa.array(links[used]), "root": pa.array(roots, pa.int64())})
+        one, two = (Block.unpack(x.as_py()) for x in table.column("packed"))
+        found = links_of(one, two, threshold, tolerance, table.column("k")[0].as_py())
+        return pa.Table.from_batches([_rows(found)])
 
     return run
 
 
+def linked(payload: DataFrame, dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(id, links, root) of every block, from (id, sig, shingles) and (id, band, k, blocks, block)."""
+    places = dealt.groupBy("id").agg(F.collect_list(F.struct("band", "k", "blocks", "block")).alias("places"))  # BANDS at most
+    rows = payload.join(places.hint("merge"), "id").select("id", "sig", "shingles", F.explode("places").alias("p"))
+    rows = rows.select("p.band", "p.k", "p.blocks", "p.block", "id", "sig", "shingles").repartition("band", "block")
+    rows = rows.sortWithinPartitions("band", "block", "id")
+    inner = written(rows.mapInArrow(_within(threshold, tolerance), _LINKS), "links")
+    out = inner.filter("id is not null").select("id", "links", "root")
+    packed = inner.filter("packed is not null").select("band", "k", "block", "packed")
+    if packed.isEmpty():
+        return out
+    # A pair of blocks is one unit; a block is one row, so that rows grow with blocks, not documents.
+    blocks = packed.select("band", "block").groupBy("band").agg(F.collect_list("block").alias("all"))
+    units = packed.join(blocks, "band").withColumn("with", F.explode("all")).filter("with <> block").select(
+        "band", "k", "packed", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second")
+    )
+    crossed = written(units.groupBy("band", "first", "second").applyInArrow(_across(threshold, tolerance), _LINKS).select("id", "links", "root"), "links")
+    return out.unionByName(crossed)
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, group_id.
 
     class_id is the smallest doc_id of the same lower-cased word sequence, n_links the number of
     other classes whose shingle sets reach the threshold with this one, group_id the smallest
     class_id that links connect. Texts without words (null, empty, white space) are one class
-    without links; texts below five words are one shingle. A null doc_id counts as the largest
-    integer and is returned as null. Other columns are ignored.
+    without links; texts below five words are one shingle. Rows are documents of their own also
+    where they share a doc_id or have none: null counts as the largest doc_id, and a class or group
+    whose rows all lack one has a null class_id or group_id. Repeated rows are of one class. An
+    empty table gives no rows; other columns are ignored.
     """
-    no_id = 2**63 - 1
 
     def sketch(texts: list[str | None]) -> dict[str, list]:
         import xxhash
 
-        out: dict[str, list] = {"class_key": [], "bands": []}
+        out: dict[str, list] = {"class_key": [], "size": [], "bands": []}
         for text in texts:
             tokens = words(text)
             out["class_key"].append(xxhash.xxh3_128_digest(" ".join(tokens)))
             shingles = shingle_hashes(tokens)
+            out["size"].append(len(shingles))
             out["bands"].append(_bands(signature(shingles)) if len(shingles) else [])
         return out
 
-    rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("id"), F.col("text"))
-    sketched = written(map_texts(rows, sketch, "class_key binary, bands array<long>", keep=("id",)), "sketches")
+    def measure(texts: list[str | None]) -> dict[str, list]:
+        sets = [shingle_hashes(words(t)) for t in texts]
+        return {"sig": [signature(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]}
+
+    rows = row_keyed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
+    sketched = written(map_texts(rows, sketch, "class_key binary, size long, bands array<long>", keep=("id", "doc_id")), "sketches")
     # Folded before it is joined: a class of any number of copies is one row a task.
-    # Written, so that the join below has a shuffle of its own whose large partitions can be split.
-    classes = written(sketched.groupBy("class_key").agg(F.min("id").alias("class_id")), "class-ids")
-    members = written(sketched.select("id", "class_key").join(classes, "class_key").select("id", "class_id"), "classes")
-    representatives = sketched.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
-    banded = representatives.select("id", F.explode("bands").alias("band"))
-    lowest = banded.groupBy("band").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "low")
-    edges = banded.join(lowest, "band").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    candidates = connected(edges)
-    # Blocks of a component: its documents are spread by hash over as many blocks as its size asks for.
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    dealt = candidates.join(sizes, "root").select(
-        "id", "root", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "root", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),
-        (F.col("block") > F.col("with")).cast("int").alias("side"),
-    )
-    pairs = written(pairs, "pairs")
-    # No semi join here: the optimizer would move it below the bit set.
-    texts = _asked_rows(rows, pairs.select("id")).groupBy("id").agg(F.min("text").alias("text"))
-    units = pairs.join(texts.hint("merge"), "id").groupBy("root", "first", "second")
-    compared = written(units.applyInArrow(_compare(threshold, tolerance), _UNIT), "links")
+    first = F.min(F.struct("id", "doc_id", "size", "bands")).alias("first")
+    classes = written(sketched.groupBy("class_key").agg(first, F.count(F.lit(1)).alias("n")).select("class_key", "n", "first.*"), "classes")
+    banded = classes.select("id", "size", F.posexplode("bands").alias("k", "band"))
+    # Of buckets with the same members, told by their number and two 64-bit sums, the first band's stays.
+    members = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"sum{seed}") for seed in (1, 2)]
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.sum("size").alias("size"), *members).filter("n > 1")
+    buckets = buckets.groupBy("n", "sum1", "sum2").agg(F.min(F.struct("k", "band", "size")).alias("b")).select("n", "b.*")
+    per_doc = 4 * BANDS * BAND_ROWS + 16
+    buckets = written(buckets.select("band", "k", "n", F.ceil((8 * F.col("size") + per_doc * F.col("n")) / BLOCK_BYTES).cast("int").alias("blocks")), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    dealt = dealt_join(banded.select("id", "band"), buckets.select("band", "k", "blocks"), "band", "id", buckets.select("band", "n"), total)
+    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")), "dealt")
+    asked = in_bit_set(rows.select("id", "text"), dealt, "id").filter("in_set")
+    payload = map_texts(asked, measure, "sig binary, shingles binary", keep=("id",))
+    compared = linked(payload, dealt, threshold, tolerance)
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    found = links.join(groups, "id", "left").select(F.col("id").alias("class_id"), "links", "root")
-    back = lambda c: F.nullif(F.col(c), F.lit(no_id))
-    return members.join(found, "class_id", "left").select(
-        back("id").alias("doc_id"), back("class_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
-        F.nullif(F.coalesce("root", "class_id"), F.lit(no_id)).alias("group_id"),
+    found = written(links.join(groups, "id", "left").select("id", "links", F.coalesce("root", "id").alias("root")), "found")
+    # The doc_id of each root, then the facts of each class, then of each row; a hot root or class is dealt.
+    roots = classes.select(F.col("id").alias("root"), F.col("doc_id").alias("group_id"))
+    counts = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    named = dealt_join(found, roots, "root", "id", counts, found.count()).select("id", "links", "group_id")
+    facts = classes.select("class_key", "id", F.col("doc_id").alias("class_id")).join(named.withColumn("linked", F.lit(True)), "id", "left").select(
+        "class_key", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("linked"), F.col("group_id")).otherwise(F.col("class_id")).alias("group_id"),
     )
+    rows = sketched.select("class_key", "id", "doc_id")
+    return dealt_join(rows, facts, "class_key", "id", classes.select("class_key", "n"), sketched.count()).select("doc_id", "class_id", "n_links", "group_id")
 
 
 def one_of_each_group(df: DataFrame) -> DataFrame:
     """The rows of df that represent their near-duplicate group; texts without words are a group too.
 
-    A group's first row by doc_id (null last) stays. Rows that share a doc_id, and rows whose doc_id
-    is null, are documents of their own.
+    A group's first row by doc_id (null last) stays. Rows that share a doc_id, rows whose doc_id is
+    null and repeated rows are documents of their own, of which one of a group stays. Columns of any
+    name are kept as they are; an empty table gives no rows.
     """
-    rows = row_keyed(df)
-    keep = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("doc_id = group_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return rows.join(keep, rows["_row"] == F.col("_kept_id"), "left_semi").drop("_row")
+    return rows_of(df, lambda docs: near_duplicates(docs).filter("doc_id = group_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
