@@ -4,6 +4,7 @@ Each map task puts its rows' digests into a cuckoo index and gives one partial g
 the partial groups are dealt by digest, and an index per partition merges them. A group of any size
 so reaches the second step as at most one row per task and flush. A fingerprint hit counts only
 after the stored key in that bucket (the SHA-256 and length of the normalised text) is compared.
+`LiveTexts` keeps such an index between runs: texts come in, and withdrawn documents go out of it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_keyed
+from .common import dealt_join, documents, new_path, remove, rows_of, written
 
 NAME = "op6_exact_dedup"
 
 #: The characters deleted before comparison: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
-#: A map task gives out its partial groups when its index holds this many digests.
+#: A task gives out its groups when its index holds this many digests.
 FLUSH_KEYS = 200_000
 _NO_ID = 2**63 - 1
 
@@ -135,38 +136,46 @@ def _merge(index: CuckooIndex, key: bytes, chars: int, owner: int, rows: int) ->
 _PARTIAL = "digest binary, chars long, owner long, n_rows long"
 
 
-def _indexed(flush: int | None):
-    """A mapInArrow function that merges rows (digest, chars, owner, n_rows) in a cuckoo index."""
+def _batches(columns: list[list], schema):
+    """Record batches of bounded length."""
+    import pyarrow as pa
+
+    for at in range(0, len(columns[0]), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def given(index: CuckooIndex):
-        import pyarrow as pa
 
-        rows = list(index)
-        for at in range(0, len(rows), 10_000):
-            part = rows[at : at + 10_000]
-            columns = [[k for k, _ in part], *([v[i] for _, v in part] for i in range(3))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                names=["digest", "chars", "owner", "n_rows"],
-            )
+def _indexed(ordered: bool, flush: int):
+    """A mapInArrow function that merges rows (digest, chars, owner, n_rows) in cuckoo indexes of about `flush` keys.
+
+    If rows come in order of digest, a full index is given out before a digest that it lacks, so
+    that each digest is given out once; otherwise whenever it is full.
+    """
 
     def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("digest", pa.binary()), ("chars", pa.int64()), ("owner", pa.int64()), ("n_rows", pa.int64())])
         index = CuckooIndex()
+
+        def given():
+            rows = list(index)
+            return _batches([[k for k, _ in rows], *([v[i] for _, v in rows] for i in range(3))], schema)
+
         for batch in batches:
             for key, chars, owner, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if len(index) >= flush and (not ordered or index.get(key) is None):
+                    yield from given()
+                    index = CuckooIndex()
                 _merge(index, key, chars, owner, rows)
-            if flush and len(index) >= flush:
-                yield from given(index)
-                index = CuckooIndex()
-        yield from given(index)
+        yield from given()
 
     return run
 
 
 def duplicate_groups(keyed: DataFrame) -> DataFrame:
     """(digest, chars, owner, n_rows) per digest, from rows of the same columns with n_rows 1."""
-    partial = keyed.select("digest", "chars", "owner", "n_rows").mapInArrow(_indexed(FLUSH_KEYS), _PARTIAL)
-    return partial.repartition("digest").mapInArrow(_indexed(None), _PARTIAL)
+    partial = keyed.select("digest", "chars", "owner", "n_rows").mapInArrow(_indexed(False, FLUSH_KEYS), _PARTIAL)
+    return partial.repartition("digest").sortWithinPartitions("digest").mapInArrow(_indexed(True, FLUSH_KEYS), _PARTIAL)
 
 
 def keyed_rows(df: DataFrame) -> DataFrame:
@@ -188,10 +197,12 @@ def exact_dedup(df: DataFrame) -> DataFrame:
     code points stays, then the smallest doc_id, null last; of rows repeated with the same doc_id
     and length all count as kept. An empty table gives no rows; other columns are ignored.
     """
-    rows = keyed_rows(df)
-    groups = duplicate_groups(rows).select("digest", F.col("owner").alias("keeper"), F.col("n_rows").alias("group_size"))
+    # Texts are hashed once; what follows reads ids and digests.
+    rows = written(keyed_rows(df), "digests")
+    groups = written(duplicate_groups(rows).select("digest", F.col("owner").alias("keeper"), F.col("n_rows").alias("group_size")), "digest-groups")
     keep = F.nullif(F.col("keeper"), F.lit(_NO_ID))
-    return rows.join(groups, "digest").select(
+    counts = groups.select("digest", F.col("group_size").alias("n"))
+    return dealt_join(rows, groups, "digest", "owner", counts, rows.count()).select(
         "doc_id",
         keep.alias("keep_id"),
         "group_size",
@@ -206,9 +217,80 @@ def kept_documents(df: DataFrame) -> DataFrame:
     Rows are decided one by one: of rows repeated with the same doc_id and text one stays, rows with
     the same doc_id and other texts do not share their fate, nor do rows whose doc_id is null.
     """
-    rows = row_keyed(df)
-    decided = exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return rows.join(decided, rows["_row"] == F.col("_kept_id"), "left_semi").drop("_row")
+    return rows_of(df, lambda docs: exact_dedup(docs).filter("kept"))
+
+
+class LiveTexts:
+    """The digests of texts that are live, kept between runs as a table (digest, owner) in a folder.
+
+    A text is live while the document that brought it is: `add` admits documents whose text is not
+    live yet, `withdraw` deletes the digests of documents that leave, so that their texts may come
+    in again. Each call reads the last generation of the table and writes the next one whole; a call
+    that fails leaves the last one as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self._spark, self.path = spark, path or new_path(spark, "live-texts")
+        self._generation: str | None = None
+
+    @property
+    def live(self) -> DataFrame:
+        """(digest, owner) of every live text."""
+        if self._generation is None:
+            return self._spark.createDataFrame([], "digest binary, owner long")
+        return self._spark.read.schema("digest binary, owner long").parquet(self._generation)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """(doc_id, admitted) per row of df: of equal texts the one that `exact_dedup` keeps, if its text is not live."""
+        rows = keyed_rows(df)
+        first = duplicate_groups(rows).select("digest", "owner")
+        done = self._apply(first.select("digest", "owner", F.lit(2).alias("step"))).filter("step = 2")
+        new = done.select(F.col("digest").alias("_d"), F.col("owner").alias("_o"))
+        won = (F.col("digest") == F.col("_d")) & (F.col("owner") == F.col("_o"))
+        return rows.join(new, won, "left").select("doc_id", F.col("_d").isNotNull().alias("admitted"))
+
+    def withdraw(self, df: DataFrame) -> DataFrame:
+        """(doc_id) of the rows (doc_id, text) of df that were live; their digests are deleted."""
+        done = self._apply(keyed_rows(df).select("digest", "owner", F.lit(1).alias("step")).distinct())
+        return done.filter("step = 1").select(F.nullif("owner", F.lit(_NO_ID)).alias("doc_id"))
+
+    def _apply(self, steps: DataFrame) -> DataFrame:
+        """Deletions (step 1), then insertions (2), each with its digest's live entry (0) in one index; what took effect."""
+        flush = FLUSH_KEYS
+
+        def run(batches):
+            import pyarrow as pa
+
+            schema = pa.schema([("digest", pa.binary()), ("owner", pa.int64()), ("step", pa.int32())])
+            index, told = CuckooIndex(), []
+
+            def given():
+                rows = [(k, v, 0) for k, v in index] + told
+                return _batches([[r[i] for r in rows] for i in range(3)], schema)
+
+            for batch in batches:
+                for key, owner, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    known = index.get(key)
+                    if len(index) + len(told) >= flush and known is None and step != 1:
+                        yield from given()
+                        index, told = CuckooIndex(), []
+                    if step == 1 and known == owner:
+                        index.delete(key)
+                        told.append((key, owner, 1))
+                    elif step != 1 and known is None:
+                        index.insert(key, owner)
+                        if step == 2:
+                            told.append((key, owner, 2))
+            yield from given()
+
+        asked = self.live.select("digest", "owner", F.lit(0).alias("step")).unionByName(steps)
+        dealt = asked.repartition("digest").sortWithinPartitions("digest", "step", "owner")
+        done = written(dealt.mapInArrow(run, "digest binary, owner long, step int"), "live-steps")
+        before, self._generation = self._generation, f"{self.path}/{new_path(self._spark, 'generation').rsplit('-', 1)[1]}"
+        done.filter("step = 0").select("digest", "owner").write.parquet(self._generation)
+        if before is not None:
+            remove(self._spark, before)
+        return done
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

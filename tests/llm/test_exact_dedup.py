@@ -55,3 +55,35 @@ def test_flush_empty_null_id_and_extra_columns(spark, monkeypatch):
     nulls = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert {r.keep_id for r in op.exact_dedup(nulls).collect()} == {None}
     assert op.exact_dedup(documents(spark, [])).count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    names = ["_kept_id", "_row", "_kept", "digest", "owner", "keeper", "n", "_salt", "CHARS"]
+    rows = [(1, "abc"), (1, "x"), (7, "x  "), (None, "q"), (None, "r"), (None, "r"), (8, "abc"), (8, "abc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'mine' as `{n}`" for n in names])
+    kept = op.kept_documents(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q"), (0, "r"), (1, "abc"), (7, "x  ")]
+    assert {tuple(r)[2:] for r in kept.collect()} == {("mine",) * len(names)}
+    got = sorted(((r.doc_id or 0), r.keep_id, r.group_size, r.kept) for r in op.exact_dedup(df).collect() if r.doc_id == 1)
+    assert got == [(1, 1, 3, True), (1, 7, 2, False)]
+
+
+def test_live_texts_add_and_withdraw(spark, monkeypatch):
+    monkeypatch.setattr(op, "FLUSH_KEYS", 3)
+    index, rng, live = op.LiveTexts(spark), random.Random(4), {}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for turn in range(3):
+        rows = [(100 * turn + i, f"t {rng.randrange(15)}") for i in range(20)]
+        first = {}
+        for i, t in rows:
+            first.setdefault(t.replace(" ", ""), i)
+        want = {i for t, i in first.items() if t not in live}
+        got = {r.doc_id for r in index.add(frame(rows)).collect() if r.admitted}
+        assert got == want
+        live |= {t: i for t, i in first.items() if i in want}
+        leaving = rng.sample(sorted(live), 4)
+        gone = index.withdraw(frame([(live[t], t) for t in leaving] + [(-1, leaving[0]), (None, None)]))
+        assert {r.doc_id for r in gone.collect()} == {live.pop(t) for t in leaving}
+        assert {r.owner for r in index.live.collect()} == set(live.values())
+    assert index.add(frame([])).count() == 0
