@@ -5,7 +5,7 @@ first, then its ever shorter prefixes that are tokens too; a token is accepted w
 forms with its left neighbour is compatible, that is, when merging by rank would never join across
 their border. If no token fits, the left neighbour is given up and its shorter prefixes are tried;
 positions found to be dead ends are remembered, so that the work is linear in the word. Decoding
-slices one blob of token strings by an offset table.
+gathers the bytes of one blob of token strings by an offset table.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import json
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_texts
@@ -23,6 +24,8 @@ ORACLE_SQL = None  # merges by rank are not expressible; tests compare with the
 
 #: Words kept in a worker's cache; it is emptied when full, and longer words are never kept.
 CACHE_WORDS, CACHE_CHARS = 800_000, 64
+#: Tokens whose strings are gathered at once.
+GATHER = 500_000
 #: Entries of the pair-compatibility table, which fills as pairs are met; it is emptied when full.
 TABLE_PAIRS = 1_000_000
 
@@ -109,12 +112,11 @@ class BpeTokenizer:
                     self._shorter[t] = p
                     break
 
-        # Decoding: the token's string is blob[offsets[id]:offsets[id + 1]].
+        # Decoding: the token's bytes are blob[offsets[id]:offsets[id + 1]], the space after each included.
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self._special.items()}
-        self._blob = "".join(strings.get(i, "") for i in range(max(strings) + 1))
-        self._offsets = [0]
-        for i in range(max(strings) + 1):
-            self._offsets.append(self._offsets[-1] + len(strings.get(i, "")))
+        ids = range(max(strings) + 1)
+        self._strings = OffsetTable([strings.get(i, "") + " " for i in ids])
+        self._digits = OffsetTable([f"{i} " for i in ids])
         self._cache = _Cache(self)
         self._chunks = _Chunks(self)
         self._table = _Compatible(self._compatible)
@@ -193,31 +195,49 @@ class BpeTokenizer:
         back = {c: b for b, c in self._inner.items()}
         return [bytes(map(back.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in sub(text)]
 
-    def pieces(self, text: str) -> list[tuple[str, int, str]]:
-        """Per stretch without white space, pre-token or special token: ids in decimal joined by a space, their number, the decoded text."""
-        cache, chunks, out = self._cache, self._chunks, []
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if len(chunks) > CACHE_WORDS:
-            chunks.clear()
-        if len(self._table) > TABLE_PAIRS:
-            self._table.clear()
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        chunks, out = self._chunks, []
         for i, part in enumerate(self._special_split.split(text)):
             if i % 2:
-                out.append((str(self._special[part]), 1, self.decode([self._special[part]])))
+                out.append(np.array([self._special[part]], "<i4").tobytes())
             elif self._outside.search(part):
-                out.extend([cache[w] for w in self._foreign_words(part)])
+                out.extend([self._cache[w] for w in self._foreign_words(part)])
             else:  # no pre-token crosses white space
                 out.extend([chunks[c] for c in part.lower().split()])
-        return out
+        return np.frombuffer(b"".join(out), "<i4")
 
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, _, _ in self.pieces(text) for x in ids.split(" ")]
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The tokens' strings in UTF-8, joined by a space, as the file names no decoder."""
+        return self._strings.joined(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The tokens' strings joined by a space, as the file names no decoder."""
-        blob, offsets = self._blob, self._offsets
-        return " ".join([blob[offsets[i] : offsets[i + 1]] for i in ids])
+        return self.decode_bytes(np.fromiter(ids, np.int64)).decode("utf-8")
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by a space."""
+        return self._digits.joined(ids)
+
+
+class OffsetTable:
+    """Strings end to end in one blob, with the offset where each begins."""
+
+    def __init__(self, strings: list[str]):
+        data = [s.encode("utf-8") for s in strings]
+        self.blob = np.frombuffer(b"".join(data), np.uint8)
+        self.offsets = np.cumsum([0, *map(len, data)])
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings of the ids one after the other, without the last byte."""
+        out = []
+        for at in range(0, len(ids), GATHER):
+            part = ids[at : at + GATHER]
+            first, stop = self.offsets[part], self.offsets[part + 1]
+            ends = (stop - first).cumsum()
+            places = np.repeat(stop - ends, stop - first)
+            places += np.arange(len(places))
+            out.append(self.blob[places].tobytes())
+        return b"".join(out)[:-1]
 
 
 class _Compatible(dict):
@@ -227,37 +247,41 @@ class _Compatible(dict):
         self._decide = decide
 
     def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= TABLE_PAIRS:
+            self.clear()
         found = self[pair] = self._decide(*pair)
         return found
 
 
 class _Cache(dict):
-    """Word -> its piece; the words of one text are looked up at once and encoded when missing."""
+    """Word -> its ids as little-endian 32-bit numbers."""
 
     def __init__(self, tokenizer: BpeTokenizer):
         self._tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
-        ids = self._tokenizer.encode_word(word.encode("utf-8", "surrogateescape"))
-        piece = (" ".join(map(str, ids)), len(ids), self._tokenizer.decode(ids))
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self._tokenizer.encode_word(word.encode("utf-8", "surrogateescape")), "<i4").tobytes()
         if len(word) <= CACHE_CHARS:
-            self[word] = piece
-        return piece
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class _Chunks(dict):
-    """A run of characters between white space -> the joined pieces of its pre-tokens."""
+    """A run of characters between white space -> the ids of its pre-tokens, as in `_Cache`."""
 
     def __init__(self, tokenizer: BpeTokenizer):
         self._tokenizer = tokenizer
 
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
+    def __missing__(self, chunk: str) -> bytes:
         t = self._tokenizer
-        found = [t._cache[w] for w in t._word.findall(chunk)]
-        piece = found[0] if len(found) == 1 else (" ".join([p[0] for p in found]), sum([p[1] for p in found]), " ".join([p[2] for p in found]))
+        ids = b"".join([t._cache[w] for w in t._word.findall(chunk)])
         if len(chunk) <= CACHE_CHARS:
-            self[chunk] = piece
-        return piece
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 _loaded: dict[str, BpeTokenizer] = {}
@@ -276,7 +300,7 @@ def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_
 
     def work(texts: list[str | None]) -> dict[str, list]:
         t = tokenizer(path)
-        return {"ids": [t.encode(x or "") for x in texts]}
+        return {"ids": [t.encode(x or "").tolist() for x in texts]}
 
     return map_texts(df, work, "ids array<int>", text_col, (id_col,))
 
@@ -304,19 +328,15 @@ def bpe_digests(df: DataFrame, path: str | None = None) -> DataFrame:
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "utf8_bytes": []}
         for text in texts:
             text = text or ""
-            pieces = t.pieces(text)
-            out["n_tokens"].append(sum([p[1] for p in pieces]))
-            out["ids_sha256"].append(_sha256(" ".join([p[0] for p in pieces])))
-            out["decoded_sha256"].append(_sha256(" ".join([p[2] for p in pieces])))
+            ids = t.encode(text)
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(t.decimal(ids)).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(t.decode_bytes(ids)).hexdigest())
             out["utf8_bytes"].append(len(text.encode("utf-8")))
         return out
 
     return map_texts(df, work, "n_tokens long, ids_sha256 string, decoded_sha256 string, utf8_bytes long")
 
 
-def _sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))

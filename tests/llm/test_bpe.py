@@ -16,7 +16,7 @@ def pair():
 def same(pair, text):
     mine, library = pair
     ids = library.encode(text, add_special_tokens=False).ids
-    assert mine.encode(text) == ids, text[:80]
+    assert mine.encode(text).tolist() == ids, text[:80]
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
@@ -55,3 +55,29 @@ def test_encode_then_decode_documents(spark, pair):
     back = {r.doc_id: r.text for r in bpe.decode_documents(coded).collect()}
     assert back == {0: "one</w> two</w>", 1: "", 2: ""}
     assert bpe.encode_documents(documents(spark, [])).count() == 0
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    names = ["_text", "ids", "n_tokens", "DECODED_SHA256"]
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "one two"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'mine' as `{n}`" for n in names])
+    got = sorted((r.doc_id or 0, r.n_tokens, r.utf8_bytes) for r in bpe.bpe_digests(df).collect())
+    assert got == [(0, 0, 0), (0, 2, 7), (1, 1, 5), (1, 2, 7), (1, 2, 7)]
+
+
+def test_small_caches_and_gathers_give_the_same(pair, monkeypatch):
+    for name in ("CACHE_WORDS", "TABLE_PAIRS", "GATHER"):
+        monkeypatch.setattr(bpe, name, 3)
+    rng = random.Random(8)
+    same(pair, " ".join("".join(rng.choice("abeinsté") for _ in range(rng.randint(1, 9))) for _ in range(500)))
+
+
+def test_changed_offsets_change_what_is_decoded(pair):
+    ids = pair[0].encode("some words")
+    table = pair[0]._strings
+    kept = table.offsets.copy()
+    try:
+        table.offsets[ids[0] + 1] -= 2
+        assert pair[0].decode(ids) != pair[1].decode(ids.tolist(), skip_special_tokens=False)
+    finally:
+        table.offsets[:] = kept
