@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_texts
+from .common import documents, map_texts, written
 
 NAME = "op3_flac_media"
 ORACLE_SQL = None  # the format is not expressible in SQL; tests use exact round trips
@@ -471,14 +471,22 @@ def _decode_lanes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int
 
 
 class _Bits:
-    """A plain bit reader for frames that lanes do not cover."""
+    """A plain bit reader for frames that lanes do not cover; bytes are unpacked as they are needed."""
 
-    def __init__(self, data: bytes):
-        self.text, self.at = "".join(f"{b:08b}" for b in data), 0
+    STEP = 4096
 
-    def unsigned(self, n: int) -> int:
-        if self.at + n > len(self.text):
+    def __init__(self, data: memoryview):
+        self.data, self.taken, self.text, self.at = data, 0, "", 0
+
+    def _more(self) -> None:
+        if self.taken >= len(self.data):
             raise FlacError("frame ends early")
+        self.text += "".join(f"{b:08b}" for b in self.data[self.taken : self.taken + self.STEP])
+        self.taken += self.STEP
+
+    def unsigned(self, n: int) -> int:
+        while self.at + n > len(self.text):
+            self._more()
         v = int(self.text[self.at : self.at + n], 2) if n else 0
         self.at += n
         return v
@@ -489,8 +497,10 @@ class _Bits:
 
     def unary(self) -> int:
         stop = self.text.find("1", self.at)
-        if stop < 0:
-            raise FlacError("frame ends early")
+        while stop < 0:
+            seen = len(self.text)
+            self._more()
+            stop = self.text.find("1", max(self.at, seen))
         q, self.at = stop - self.at, stop + 1
         return q
 
@@ -535,7 +545,7 @@ def _plain_subframe(b: _Bits, n: int, bits: int) -> list[int]:
     return [v << wasted for v in x]
 
 
-def _plain_frame(body: bytes, n: int, channels: int, bits: int) -> tuple[np.ndarray, int]:
+def _plain_frame(body: memoryview, n: int, channels: int, bits: int) -> tuple[np.ndarray, int]:
     """[channels, n] samples of a frame's body, and its length in bytes."""
     b = _Bits(body)
     count = channels + 1 if channels < 8 else 2
@@ -589,7 +599,7 @@ def decode_frames(streams: list[Stream], wanted: list[range]) -> list[list[np.nd
                     found[j] = samples[None]
     for j, p in enumerate(place):
         if found[j] is None:
-            found[j], size = _plain_frame(flat[p[6] : p[7] - 2].tobytes(), *p[2:5])
+            found[j], size = _plain_frame(memoryview(flat[p[6] : p[7] - 2].tobytes()), *p[2:5])
             if p[6] + size != p[7] - 2:
                 raise FlacError("bytes between frames")
         out[p[0]].append(found[j])
@@ -597,10 +607,10 @@ def decode_frames(streams: list[Stream], wanted: list[range]) -> list[list[np.nd
 
 
 def _decode_unindexed(s: Stream) -> np.ndarray:
-    at, blocks, flat = s.first, [], np.frombuffer(s.data, np.uint8)
+    at, blocks, flat, view = s.first, [], np.frombuffer(s.data, np.uint8), memoryview(s.data)
     while at < len(s.data):
         n, channels, bits, body = s.header(at)
-        x, size = _plain_frame(s.data[body:], n, channels, bits)
+        x, size = _plain_frame(view[body:], n, channels, bits)
         if body + size + 2 > len(s.data):
             raise FlacError("frame ends early")
         _check_frames(flat, np.array([at]), np.array([body + size + 2]))
@@ -649,9 +659,30 @@ def feature(x: np.ndarray) -> str:
     return ":".join(str(int(n)) for n in (v.sum(), (v * v).sum(), ((v[1:] < 0) != (v[:-1] < 0)).sum(), np.abs(v).max(initial=0), np.abs(np.diff(v)).sum()))
 
 
+#: Bytes of payloads that are coded at once.
+HELD_BYTES = 1_500_000
+
+
+def _groups(sizes: list[int]):
+    """Stretches (first, stop) of rows with bounded bytes, or one row."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= HELD_BYTES or i + 1 == len(sizes):
+            yield first, i + 1
+            first, held = i + 1, 0
+
+
 def store_media(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, media binary): the text's payload as a FLAC stream. A null text counts as empty."""
-    return map_texts(df, lambda texts: {"media": encode([payload_of(t) for t in texts])}, "media binary", text_col, (id_col,))
+    """(id, n_bytes, media binary): the text's bytes, and its payload as a FLAC stream. A null text counts as empty."""
+
+    def work(texts: list[str | None]) -> dict[str, list]:
+        medias: list[bytes] = []
+        for a, z in _groups([len(t or "") for t in texts]):
+            medias += encode([payload_of(t) for t in texts[a:z]])
+        return {"n_bytes": [len((t or "").encode("utf-8")) for t in texts], "media": medias}
+
+    return map_texts(df, work, "n_bytes long, media binary", text_col, (id_col,))
 
 
 def pcm_blocks(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -680,39 +711,43 @@ def pcm_blocks(df: DataFrame, media_col: str = "media", id_col: str = "doc_id")
     return map_texts(df, work, kind, media_col, (id_col,))
 
 
-def media_digests(df: DataFrame) -> DataFrame:
-    """Store every whole text as FLAC, read the stream back and describe what was read.
+def described(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """Per stored stream: the columns `keep`, payload_bytes, payload_sha256, tail_crc32 (read by seeking), media_bytes, media_sha256, feature.
 
-    Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (read by seeking),
-    media_bytes, media_sha256, feature. Null and empty texts are a payload of spaces; rows are
-    independent, equal texts give equal values, and other columns are ignored.
+    A null stream gives nulls; a broken one raises FlacError.
     """
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
-    def work(texts: list[str | None]) -> dict[str, list]:
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-        out: dict[str, list] = {n: [] for n in names}
-        group, held = [], 0
-        for i, text in enumerate(texts):
-            group.append(text)
-            held += len(text or "")
-            if held < 1_500_000 and i + 1 < len(texts):
-                continue
-            medias = encode([payload_of(t) for t in group])
+    def work(given: list[bytes | None]) -> dict[str, list]:
+        out: dict[str, list] = {n: [None] * len(given) for n in names}
+        there = [i for i, m in enumerate(given) if m is not None]
+        for a, z in _groups([len(given[i]) for i in there]):
+            medias = [bytes(given[i]) for i in there[a:z]]
             read = decode(medias)
-            tails = read_samples(medias, [(x.shape[1] - 16, x.shape[1]) for x in read])
-            for t, m, x, tail in zip(group, medias, read, tails, strict=True):
+            tails = read_samples(medias, [(max(0, x.shape[1] - 16), x.shape[1]) for x in read])
+            for i, m, x, tail in zip(there[a:z], medias, read, tails, strict=True):
                 back = (x[0] + 128).astype(np.uint8).tobytes()
                 values = (
-                    len((t or "").encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32((tail[0] + 128).astype(np.uint8).tobytes()),
+                    len(back), hashlib.sha256(back).hexdigest(), zlib.crc32((tail[0] + 128).astype(np.uint8).tobytes()),
                     len(m), hashlib.sha256(m).hexdigest(), feature(x[0]),
                 )
                 for name, v in zip(names, values, strict=True):
-                    out[name].append(v)
-            group, held = [], 0
+                    out[name][i] = v
         return out
 
-    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_texts(df, work, made)
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_texts(df, work, made, media_col, keep)
+
+
+def media_digests(df: DataFrame) -> DataFrame:
+    """Write every whole text as a FLAC column to the shared folder, read the column back and describe what was read.
+
+    Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature. Null and empty texts are a payload of spaces; rows are independent, so that repeated
+    rows and null ids stand for themselves and equal texts give equal values; an empty table gives
+    no rows, and other columns are ignored.
+    """
+    return described(written(store_media(df), "media"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,24 @@ def test_query_blocks_and_empty(spark, tmp_path):
         assert [b.sample_offset for b in r.blocks] == list(range(0, len(op.payload_of(texts[r.doc_id])), op.BLOCK))
         assert bytes(np.frombuffer(b"".join(bytes(b.pcm) for b in r.blocks), np.uint8) ^ 0x80) == op.payload_of(texts[r.doc_id])
     assert op.media_digests(documents(spark, [])).count() == 0
+
+
+def test_stream_of_another_encoder():
+    # the one-sample stereo stream of RFC 9639, appendix D.1
+    media = bytes.fromhex(
+        "664c614380000022100010000000" "0f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0f" "fff869180000bf0358fd03128baa9a"
+    )
+    stream = op.Stream(media)
+    assert (stream.rate, stream.channels, stream.bits, stream.samples, stream.indexed) == (44100, 2, 16, 1, False)
+    assert op.decode([media])[0].tolist() == [[25588], [10416]]
+    with pytest.raises(op.FlacError):
+        op.decode([media[:-3] + b"\0" + media[-2:]])
+
+
+def test_stored_column_repeated_null_and_clashing(spark):
+    rows = [(1, "abc"), (1, "abc"), (None, "abc"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' as media", "'mine' as n_bytes", "'mine' as _text")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in op.media_digests(df).collect())
+    assert got == [(0, 0, 192), (0, 3, 192), (1, 3, 192), (1, 3, 192)]
+    stored = op.store_media(df.limit(1)).selectExpr("doc_id", "n_bytes", "cast(null as binary) as media")
+    assert op.described(stored).first().media_bytes is None
