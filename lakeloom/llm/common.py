@@ -103,8 +103,8 @@ def rows_of(df: DataFrame, decide) -> DataFrame:
     return rows.join(keep, rows[row] == keep[kept], "left_semi").select(*[rows[f"`{c}`"] for c in df.columns])
 
 
-#: Bits of a set over hashed keys: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of a set over hashed keys: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 #: Tasks among which a hot key is dealt, and the share of all rows (1 in HOT_KEYS) above which a key is hot.
 SALTS, HOT_KEYS = 32, 500
 

@@ -12,15 +12,15 @@ import base64
 import io
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, free_names, map_texts
 
 NAME = "op10_language_id"
 ORACLE_SQL = None  # a trained network; tests measure held-out accuracy
 
-#: Largest number of labelled rows that the classifier is fitted on, taken by lowest hash of doc_id.
+#: Largest number of labelled rows that the classifier is fitted on: of each language in turn the one of lowest hash of doc_id.
 TRAIN_ROWS = 3000
 #: Windows of a training row, spread evenly over its text.
 TRAIN_WINDOWS = 4
@@ -196,12 +196,17 @@ def held_out() -> F.Column:
 def train(df: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> ByteConvNet:
     """Fit on at most `rows` labelled rows that are not held out, the same ones in every run.
 
-    Only the chosen rows' windows come to the driver. Without labelled rows the network has no
-    classes and every prediction is `und`.
+    Languages take turns, so that a rare one is learned too as long as there are no more languages
+    than rows. Only the chosen rows' windows come to the driver; rows without a doc_id are never
+    chosen, and of rows that share doc_id and language one is. Without labelled rows the network has
+    no classes and every prediction is `und`.
     """
-    labelled = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    drawn = labelled.select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
-    chosen = drawn.orderBy("draw", "doc_id", "lang").limit(rows).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l")).distinct()
+    labelled = df.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    drawn = labelled.select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("draw")).distinct()
+    # A bounded number of each language is kept before rows meet.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    ranked = drawn.withColumn("turn", turn).filter(F.col("turn") <= rows)
+    chosen = ranked.orderBy("turn", "lang").limit(rows).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
 
     def cut(texts: list[str | None]) -> dict[str, list]:
         found = []
@@ -213,7 +218,8 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> ByteConvNe
 
     # bounded by `rows`
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l")), "left_semi")
-    got = sorted((r.doc_id, r.lang, tuple(map(bytes, r.cut))) for r in map_texts(sample, cut, "cut array<binary>", keep=("doc_id", "lang")).collect())
+    cuts = map_texts(sample, cut, "cut array<binary>", keep=("doc_id", "lang")).groupBy("doc_id", "lang").agg(F.min("cut").alias("cut"))
+    got = sorted((r.doc_id, r.lang, tuple(map(bytes, r.cut))) for r in cuts.collect())
     classes = sorted({lang for _, lang, _ in got})
     net = ByteConvNet(classes, seed)
     if len(classes) < 1:
@@ -252,15 +258,18 @@ def identify(df: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_id",
 def recognised(df: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """The rows of df, with its columns, whose language is recognised with at least this probability.
 
-    The network learns from df's own labelled rows; without any, all rows with a letter stay.
+    The network learns from df's own labelled rows; without any, all rows with a letter stay. Rows
+    without a letter (null, empty) go; repeated rows and null ids are decided row by row; columns of
+    any name are kept as they are, and an empty table gives no rows.
     """
     net = train(df)
     if not net.classes:
         return df.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     told = identify(df, net, tuple(df.columns))
     # by position: kept columns come first and may be named like the new ones
-    told = told.toDF(*df.columns, "_held_out", "_pred", "_score")
-    return told.filter((F.col("_pred") != UNDETERMINED) & (F.col("_score") >= least)).select(*df.columns)
+    names = free_names(df, "_held_out", "_pred", "_score")
+    told = told.toDF(*df.columns, *names)
+    return told.filter((F.col(names[1]) != UNDETERMINED) & (F.col(names[2]) >= least)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

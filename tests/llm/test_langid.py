@@ -52,6 +52,56 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-6 - g[at]) < 1e-4, k
 
 
+def plain_probabilities(net, window):
+    """The forward pass written as loops over filters, positions and bytes."""
+    p = {k: v.tolist() for k, v in net.params.items()}
+    hidden = []
+    for w in op.WIDTHS:
+        for f in range(op.FILTERS):
+            best = max(
+                sum(p["embed"][window[at + j]][e] * p[f"conv{w}"][j * op.EMBED + e][f] for j in range(w) for e in range(op.EMBED))
+                for at in range(len(window) - w + 1)
+            )
+            hidden.append(max(0.0, best + p[f"bias{w}"][f]))
+    z = [sum(h * p["out"][i][c] for i, h in enumerate(hidden)) + p["out_bias"][c] for c in range(len(net.classes))]
+    e = [np.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_predictions_match_plain_loops():
+    net, rng = op.ByteConvNet(["a", "b", "c"], 4), np.random.default_rng(1)
+    texts = ["ab", "été " * 9, "x" * 192, "lorem ipsum " * 40]
+    for text, (lang, score) in zip(texts, net.predict_texts(texts), strict=True):
+        total, weight = np.zeros(3), 0
+        for window in op.windows(text.encode()).tolist():
+            used = sum(b > 0 for b in window)
+            total += used * np.array(plain_probabilities(net, window))
+            weight += used
+        share = total / weight
+        assert lang == net.classes[int(share.argmax())] and abs(score - share.max()) < 1e-5
+    x = rng.integers(1, 256, (6, op.WINDOW), dtype=np.uint8)
+    assert np.allclose(net.probabilities(x), [plain_probabilities(net, w) for w in x.tolist()], atol=1e-5)
+
+
+def test_rare_languages_are_learned_and_samples_bounded(spark):
+    data = [(i, "the and " * 9, "aa", "s", 0) for i in range(400)] + [(500 + i, "ción que " * 9, "cc", "s", 0) for i in range(8)]
+    data += [(7, "the and " * 9, "aa", "s", 0)] * 30
+    df = spark.createDataFrame(data, DOCUMENTS)
+    assert op.train(df, rows=12).classes == ["aa", "cc"]
+
+
+def test_repeated_null_and_clashing(spark):
+    names = ["lang_pred", "SCORE", "_text", "_k0", "_pred", "held_out"]
+    rows = [(1, "abc def"), (1, "abc def"), (None, "abc"), (None, None), (2, "..")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", *[f"'mine' as `{n}`" for n in names])
+    net = op.train(df)
+    got = sorted((r.doc_id or 0, r.lang_pred) for r in op.identify(df, net).collect())
+    assert got == [(0, "en"), (0, "und"), (1, "en"), (1, "en"), (2, "und")]
+    kept = op.recognised(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1]
+    assert op.recognised(df.limit(0)).count() == 0
+
+
 def test_windows_cover_and_empty_tables(spark):
     data = bytes(range(1, 201)) * 3
     w = op.windows(data)
