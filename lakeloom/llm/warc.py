@@ -1,36 +1,43 @@
 """WARC archives with a two-level capture index.
 
-Pages become WARC/1.1 records, each a gzip member of its own, gathered into segments of a few
-megabytes; a segment is a row (segment, data) of a table in the shared folder, so that any executor
-can read any byte range of it. The capture index sorts lines "reversed-host key, page, segment,
-offset, length" into compressed blocks, and a sparse directory holds each block's first key. A
-lookup searches the directory and then one block by bisection and reads one byte range.
+Pages become WARC/1.1 records, each a gzip member of its own, in files of a few megabytes in the
+shared folder. The capture index sorts lines "reversed-host key and page, file, offset, length" into
+compressed blocks; index files hold blocks and, after them, pages of a sparse directory with each
+block's first key; a second, sparser level has one entry a directory page. A search bisects the
+upper level, a directory page and a block, and then reads byte ranges of the record files. Files are
+reached through pyarrow's file systems (local or mounted folders, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import datetime
+import functools
 import gzip
 import hashlib
+import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import dealt_join, in_bit_set, new_path, written
 
 NAME = "op9_warc_capture_index"
 
 #: Payloads of at least so many bytes are stored once; equal ones become revisit records.
 REVISIT_BYTES = 1000
-#: A segment is closed when it has reached this size; a larger record has a segment of its own.
+#: A record file is closed when it has reached this size.
 SEGMENT_BYTES = 4 << 20
-#: Lines of a block of the capture index.
-BLOCK_LINES = 1000
+#: Lines of a block of the capture index, and blocks of a directory page: one entry of the upper level.
+BLOCK_LINES, PAGE_BLOCKS = 1000, 1000
+#: Neighbouring records are read at once up to this size.
+READ_BYTES = 1 << 20
 
 ORACLE_SQL = """
 WITH p AS (
@@ -69,26 +76,52 @@ def _one_line(text: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit has no payload and says whose payload it shares, and its length."""
-    kind = "response" if refers_to is None else "revisit"
-    b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
+def _one_line(text: str) -> str:
+    return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
+
+
+def capture_key(url: str | None, page_id: int | None) -> str:
+    """What index lines are sorted by: the URL's key without spaces and controls, a space, the page."""
+    key = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url_key(url))
+    return f"{key} {'' if page_id is None else page_id}"
+
+
+def _sha1(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def _member(head: list[tuple[str, object]], body: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{name}: {value}" for name, value in head), f"WARC-Block-Digest: {_sha1(body)}", f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n", 3, mtime=0)
+
+
+def info_member(name: str, date: str) -> bytes:
+    """The warcinfo record that starts a file."""
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _member(head, b"software: lakeloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record_member(
+    place: str, date: str, page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int,
+    refers_to: int | None = None, refers_url: str | None = None,
+) -> bytes:
+    """One record; a revisit has no payload and says whose payload it shares, and its length. `place` makes its id unique."""
+    revisit = payload is None
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {_one_line(url or '')}", f"WARC-Payload-Digest: sha1:{b32}", "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(body)}",
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"), ("WARC-Date", date),
+        ("WARC-Target-URI", _one_line(url or "")), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
+        ("Content-Type", "application/http; msgtype=response"), ("X-Page-Id", "" if page_id is None else page_id), ("X-Payload-Length", size),
     ]
-    if refers_to is not None:
+    if revisit:
         head += [
-            f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {len(payload)}",
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To-Target-URI", _one_line(refers_url or "")), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-Id", refers_to),
         ]
-    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return _member(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload or b""))
 
 
 def parse_record(data: bytes) -> dict[str, object]:
-    """Headers (lower-cased names), and the payload behind the HTTP head."""
+    """Headers (lower-cased names), and the payload behind the HTTP head; lengths and digests are verified."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -100,221 +133,365 @@ def parse_record(data: bytes) -> dict[str, object]:
     body = rest[: int(fields["content-length"])]
     if rest[int(fields["content-length"]) :] != b"\r\n\r\n":
         raise ValueError("record ends early")
+    if fields["warc-block-digest"] != _sha1(body):
+        raise ValueError(f"block digest of {fields['warc-record-id']} does not match")
     fields["payload"] = body.partition(b"\r\n\r\n")[2]
+    if fields["warc-type"] == "response" and fields["warc-payload-digest"] != _sha1(fields["payload"]):
+        raise ValueError(f"payload digest of {fields['warc-record-id']} does not match")
     return fields
 
 
-def _urn(value: object) -> int | None:
-    number = str(value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _file_system(folder: str):
+    """pyarrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    if ":" not in folder.split("/", 1)[0]:
+        return fs.LocalFileSystem(), folder
+    folder = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", folder))
+    return fs.FileSystem.from_uri(folder)
 
 
 def with_referrals(pages: DataFrame) -> DataFrame:
-    """pages with digest, payload_bytes and refers_to: the largest page_id of equal long payloads, for the others."""
-    keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "payload_bytes": F.octet_length("html").cast("long")})
+    """(page_id, url, html, digest, payload_bytes, refers_to, refers_url) per row of pages; html is null in revisits.
+
+    refers_to is the largest page_id of equal long payloads, for the others. Rows are told apart by
+    page_id and payload together. No payload is shuffled but of rows that a bit set of fixed size
+    takes for revisits wrongly; those few (all, if the set is full) meet the exact list of them.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    keyed = keyed.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "payload_bytes": F.octet_length("html").cast("long")})
+    # Without a page_id the key has a part less; digests have 40 digits, so that keys cannot meet by chance.
+    keyed = keyed.withColumn("content", F.concat_ws(":", "digest", "payload_bytes")).withColumn("own", F.xxhash64(F.concat_ws(":", "page_id", "content")))
+    facts = written(keyed.select("page_id", "url", "digest", "payload_bytes", "content", "own"), "page-facts")
+    long = facts.filter(F.col("payload_bytes") >= REVISIT_BYTES)
     # Digests are counted before anything is joined: a payload of any number of copies is one row a task.
-    shared = (
-        keyed.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest", "payload_bytes")
-        .agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select(F.col("digest").alias("_d"), F.col("payload_bytes").alias("_b"), "top")
+    shared = written(
+        long.groupBy("content").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-payloads"
     )
-    ids = keyed.select("page_id", "digest", "payload_bytes").join(
-        shared, (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b"))
-    ).filter("page_id < top").select(F.col("page_id").alias("_p"), "top").distinct()
-    # Merged at every size: the number of revisits has no bound, so it is never broadcast.
-    return keyed.join(ids.hint("merge"), F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "digest", F.col("top").alias("refers_to"))
-
+    met = dealt_join(long, shared.select("content", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "content", "own", shared.select("content", "n"), facts.count())
+    revisits = written(met.filter("page_id < refers_to"), "revisits")
+    # Responses that the bit set takes for revisits: told by the same 64-bit key and then by all that makes it.
+    same = ["own", "content", "page_id"]
+    known = revisits.select(*(F.col(c).alias(f"r_{c}") for c in same)).distinct()
+    match = (F.col("own") == F.col("r_own")) & (F.col("content") == F.col("r_content")) & F.col("page_id").eqNullSafe(F.col("r_page_id"))
+    wrong = written(in_bit_set(facts, revisits, "own").filter("in_set").select(*same).distinct().join(known, match, "left_anti"), "not-revisits")
+    out = ["page_id", "url", "html", "digest", "payload_bytes", "refers_to", "refers_url"]
+    none = [F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url")]
+    plain = in_bit_set(keyed, revisits, "own").filter(~F.col("in_set")).select(*out[:5], *none)
+    found = plain.unionByName(revisits.withColumn("html", F.lit(None).cast("string")).select(*out))
+    if wrong.isEmpty():
+        return found
+    listed = wrong.select(*(F.col(c).alias(f"r_{c}") for c in same))
+    again = in_bit_set(keyed, wrong, "own").filter("in_set").join(listed.hint("merge"), match, "left_semi")
+    return found.unionByName(again.select(*out[:5], *none))
+
+
+_ENTRIES = "key string, page_id long, file string, offset long, length long"
+
+
+def _write_records(batches, folder: str, limit: int, date: str) -> Iterator:
+    """Record files of this task; what is given out are the places of their records."""
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-_SEGMENTS = "segment string, data binary, entries array<struct<urlkey:string,page_id:long,offset:long,length:long>>"
+    system, root = _file_system(folder)
+    # A retried task writes other files; only those whose entries are committed are ever read.
+    stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+    entries: list[tuple] = []
+    count, out, name, at = 0, None, "", 0
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
+    def given():
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in entries], f.type) for i, f in enumerate(schema)], schema=schema)
 
-def _write_segments(batches, limit: int) -> Iterator:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            for page_id, url, html, digest, size, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                if out is None:
+                    name = f"{stem}-{count:05d}.warc.gz"
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    first = info_member(name, date)
+                    out.write(first)
+                    at, count = len(first), count + 1
+                payload = None if html is None else html.encode("utf-8")
+                member = record_member(f"{name}:{at}", date, page_id, url, payload, digest, size, refers_to, refers_url)
+                out.write(member)
+                entries.append((capture_key(url, page_id), page_id, name, at, len(member)))
+                at += len(member)
+                if at >= limit:
+                    out.close()
+                    out = None
+                    yield given()
+                    entries = []
+    if out is not None:
+        out.close()
+        yield given()
+
+
+_TOP = "first_key string, last_key string, file string, offset long, length long, n_lines long"
+
+
+def _write_index(batches, folder: str, block_lines: int, page_blocks: int) -> Iterator:
+    """An index file of this task from sorted rows (key, file, offset, length); what is given out is its upper level."""
     import pyarrow as pa
     from pyspark import TaskContext
 
-    entry = pa.struct([("urlkey", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
-    schema = pa.schema([("segment", pa.string()), ("data", pa.binary()), ("entries", pa.list_(entry))])
-    task, count = TaskContext.get().partitionId(), 0
-    data, entries = bytearray(), []
-
-    def close():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f"{task:06d}-{count:06d}"]), pa.array([bytes(data)], pa.binary()), pa.array([entries], schema.field(2).type)],
-            schema=schema,
-        )
+    system, root = _file_system(folder)
+    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.idx"
+    out, at = None, 0
+    lines: list[str] = []
+    page: list[tuple[str, str, int, int, int]] = []  # first key, last key, offset, length, lines of a block
+    top: list[tuple] = []
+
+    def put(text: list[str]) -> tuple[int, int]:
+        nonlocal at, out
+        if out is None:
+            out = system.open_output_stream(f"{root}/{name}", compression=None)
+        data = zlib.compress("\n".join(text).encode("utf-8"), 6)
+        out.write(data)
+        at += len(data)
+        return at - len(data), len(data)
+
+    def close_block():
+        nonlocal lines
+        page.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], *put(lines), len(lines)))
+        lines = []
+
+    def close_page():
+        nonlocal page
+        place = put([f"{first}\t{offset}\t{length}" for first, _, offset, length, _ in page])
+        top.append((page[0][0], page[-1][1], name, *place, sum(p[4] for p in page)))
+        page = []
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                member = gzip.compress(record_bytes(page_id, url, html.encode("utf-8"), digest, refers_to), 3, mtime=0)
-                entries.append({"urlkey": url_key(url), "page_id": page_id, "offset": len(data), "length": len(member)})
-                data += member
-                if len(data) >= limit:
-                    yield close()
-                    count, data, entries = count + 1, bytearray(), []
-    if entries:
-        yield close()
+        for key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lines.append(f"{key}\t{file}\t{offset}\t{length}")
+            if len(lines) == block_lines:
+                close_block()
+                if len(page) == page_blocks:
+                    close_page()
+    if lines:
+        close_block()
+    if page:
+        close_page()
+    if out is not None:
+        out.close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t[i] for t in top], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+            names=["first_key", "last_key", "file", "offset", "length", "n_lines"],
+        )
 
 
-_INDEX = "first_key string, last_key string, n_lines int, block binary"
+class CaptureIndex:
+    """Searches in an index folder, from its upper level: (first_key, file, offset, length) in order of keys."""
+
+    def __init__(self, folder: str, top: Iterable[tuple[str, str, int, int]]):
+        self._system, self._root = _file_system(folder)
+        self._top = [(first.encode("utf-8"), (file, offset, length)) for first, file, offset, length in top]
+        self._files: dict[str, object] = {}
+        self._page = functools.lru_cache(4)(self._read_page)
+        self._block = functools.lru_cache(4)(self._read_block)
+
+    def _read(self, file: str, offset: int, length: int) -> list[bytes]:
+        if file not in self._files:
+            for old in self._files.values():
+                old.close()
+            self._files = {file: self._system.open_input_file(f"{self._root}/{file}")}
+        return zlib.decompress(self._files[file].read_at(length, offset)).split(b"\n")
+
+    def _read_page(self, place: tuple[str, int, int]) -> list[tuple[bytes, tuple[str, int, int]]]:
+        parts = [line.split(b"\t") for line in self._read(*place)]
+        return [(p[0], (place[0], int(p[1]), int(p[2]))) for p in parts]
+
+    def _read_block(self, place: tuple[str, int, int]) -> list[list[bytes]]:
+        return [line.split(b"\t") for line in self._read(*place)]
+
+    @staticmethod
+    def _span(entries: list[tuple], low: bytes, high: bytes) -> Iterator:
+        """The places of the parts that can hold keys from low to below high: from the part before the first at low on."""
+        at = max(0, bisect.bisect_left(entries, low, key=lambda e: e[0]) - 1)
+        while at < len(entries) and (entries[at][0] < high):
+            yield entries[at][1]
+            at += 1
+
+    def search(self, low: bytes, high: bytes) -> Iterator[tuple[str, str, int, int]]:
+        """(key, file, offset, length) of the lines with low <= key < high."""
+        for page in self._span(self._top, low, high):
+            for block in self._span(self._page(page), low, high):
+                lines = self._block(block)
+                at = bisect.bisect_left(lines, low, key=lambda x: x[0])
+                while at < len(lines) and lines[at][0] < high:
+                    key, file, offset, length = lines[at]
+                    yield key.decode("utf-8"), file.decode("utf-8"), int(offset), int(length)
+                    at += 1
 
 
-def _pack_blocks(batches, size: int) -> Iterator:
+def _search_keys(batches, folder: str, top: list[tuple]) -> Iterator:
+    """The places (file, offset, length) of keys that come in order; a key without a line is an error."""
     import pyarrow as pa
 
-    schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("n_lines", pa.int32()), ("block", pa.binary())])
-    lines: list[str] = []
+    index, found = CaptureIndex(folder, top), []
 
-    def close(part):
-        keys = part[0].split("\t", 1)[0], part[-1].split("\t", 1)[0]
-        block = zlib.compress("\n".join(part).encode("utf-8"), 6)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x], f.type) for x, f in zip((*keys, len(part), block), schema, strict=True)], schema=schema
-        )
+    def given():
+        columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "offset", "length"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines.append("\t".join("" if x is None else str(x) for x in row))
-            if len(lines) == size:
-                yield close(lines)
-                lines = []
-    if lines:
-        yield close(lines)
+        for key in batch.column(0).to_pylist():
+            low, seen = key.encode("utf-8"), False
+            for _, *place in index.search(low, low + b"\0"):
+                seen = True
+                found.append(place)
+                if len(found) >= 10_000:  # a key may have any number of lines
+                    yield given()
+                    found.clear()
+            if not seen:
+                raise ValueError(f"the index has no capture of {key}")
+    yield given()
+
+
+_RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+
+
+def _read_records(batches, folder: str) -> Iterator:
+    """Facts of the records at (file, offset, length), which come in order of place; neighbours are read at once."""
+    import pyarrow as pa
+
+    system, root = _file_system(folder)
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    name, handle = None, None
+    for batch in batches:
+        rows, places = [], list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        i = 0
+        while i < len(places):
+            file, start, length = places[i]
+            j, stop = i + 1, start + length
+            while j < len(places) and places[j][0] == file and start <= places[j][1] <= stop and stop - start < READ_BYTES:
+                stop = max(stop, places[j][1] + places[j][2])
+                j += 1
+            if file != name:
+                if handle is not None:
+                    handle.close()
+                name, handle = file, system.open_input_file(f"{root}/{file}")
+            data = handle.read_at(stop - start, start)
+            for _, offset, size in places[i:j]:
+                rows.append(_facts(parse_record(zlib.decompress(data[offset - start : offset - start + size], 31))))
+            i = j
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[n.split()[0] for n in _RECORDS.split(", ")])
+
+
+def _facts(record: dict[str, object]) -> tuple:
+    digest = base64.b32decode(str(record["warc-payload-digest"]).removeprefix("sha1:")).hex()
+    number = lambda name: int(record[name]) if record.get(name) else None
+    size = len(record["payload"]) if record["warc-type"] == "response" else int(record["x-payload-length"])
+    return number("x-page-id"), size, digest, record["warc-type"], number("x-refers-to-page-id"), record["warc-target-uri"]
 
 
 class Archive:
-    """A written archive: a table of segments and its capture index, both in the shared folder."""
+    """A written archive: record files, index files and the tables of what tasks have committed, in one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self.path = spark, path
 
     @property
-    def segments(self) -> DataFrame:
-        return self._spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments")
-
-    @property
-    def blocks(self) -> DataFrame:
-        return self._spark.read.schema(_INDEX).parquet(f"{self.path}/index")
+    def entries(self) -> DataFrame:
+        """(key, page_id, file, offset, length) as the tasks wrote the records."""
+        return self._spark.read.schema(_ENTRIES).parquet(f"{self.path}/entries")
 
     @classmethod
-    def write(cls, pages: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES, block_lines: int = BLOCK_LINES) -> Archive:
+    def write(
+        cls, pages: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES, block_lines: int = BLOCK_LINES, page_blocks: int = PAGE_BLOCKS,
+    ) -> Archive:
         """Write every page as a record and index the records."""
         spark = pages.sparkSession
         archive = cls(spark, path or new_path(spark, "warc"))
-        with_referrals(pages).mapInArrow(partial(_write_segments, limit=segment_bytes), _SEGMENTS).write.parquet(f"{archive.path}/segments")
-        lines = archive.segments.select("segment", F.explode("entries").alias("e")).select(
-            F.translate("e.urlkey", "\t\n\r", "   ").alias("urlkey"), F.col("e.page_id").alias("page_id"), "segment",
-            F.col("e.offset").alias("offset"), F.col("e.length").alias("length"),
-        )
-        ordered = ["urlkey", "page_id", "segment", "offset"]
+        for folder in ("records", "index"):
+            system, root = _file_system(f"{archive.path}/{folder}")
+            system.create_dir(root, recursive=True)
+        date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        work = partial(_write_records, folder=f"{archive.path}/records", limit=segment_bytes, date=date)
+        with_referrals(pages).mapInArrow(work, _ENTRIES).write.parquet(f"{archive.path}/entries")
         # Equal keys of any number are spread over ranges by the further columns.
-        ranged = lines.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
-        ranged.mapInArrow(partial(_pack_blocks, size=block_lines), _INDEX).write.parquet(f"{archive.path}/index")
+        ordered = ["key", "file", "offset"]
+        ranged = archive.entries.select("key", "file", "offset", "length").repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+        index = partial(_write_index, folder=f"{archive.path}/index", block_lines=block_lines, page_blocks=page_blocks)
+        ranged.mapInArrow(index, _TOP).write.parquet(f"{archive.path}/top")
         return archive
 
-    def index_lines(self) -> DataFrame:
-        """(urlkey, page_id, segment, offset, length) unpacked from the index blocks."""
+    def top(self) -> list[tuple[str, str, int, int]]:
+        """The upper level: one small entry per BLOCK_LINES * PAGE_BLOCKS captures and per index file."""
+        rows = self._spark.read.schema(_TOP).parquet(f"{self.path}/top").select("first_key", "file", "offset", "length").collect()
+        return sorted((tuple(r) for r in rows), key=lambda r: (r[0].encode("utf-8"), r[1], r[2]))
 
-        def unpack(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for block in batch.column(0).to_pylist():
-                    cut = [line.split("\t") for line in zlib.decompress(block).decode("utf-8").split("\n")]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([c[0] for c in cut]), pa.array([int(c[1]) if c[1] else None for c in cut], pa.int64()), pa.array([c[2] for c in cut]),
-                            pa.array([int(c[3]) for c in cut], pa.int64()), pa.array([int(c[4]) for c in cut], pa.int64()),
-                        ],
-                        names=["urlkey", "page_id", "segment", "offset", "length"],
-                    )
-
-        return self.blocks.select("block").mapInArrow(unpack, "urlkey string, page_id long, segment string, offset long, length long")
-
-    def directory(self) -> list[tuple[str, str]]:
-        """First and last key of every block, in order: one small entry per BLOCK_LINES captures."""
-        return sorted((r.first_key, r.last_key) for r in self.blocks.select("first_key", "last_key").collect())
-
-    def lookup(self, url: str, directory: list[tuple[str, str]] | None = None) -> list[dict[str, object]]:
-        """The parsed records of a URL: bisect the directory, then the blocks that can hold its key, then read ranges."""
-        key, directory = url_key(url), self.directory() if directory is None else directory
-        first = max(0, bisect.bisect_left(directory, (key, "")) - 1)
-        firsts = []
-        while first < len(directory) and directory[first][0] <= key:
-            if directory[first][1] >= key:
-                firsts.append(directory[first])
-            first += 1
-        found = []
-        for low, high in dict.fromkeys(firsts):
-            for row in self.blocks.filter((F.col("first_key") == low) & (F.col("last_key") == high)).collect():
-                lines = [x.split("\t") for x in zlib.decompress(row.block).decode("utf-8").split("\n")]
-                at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                while at < len(lines) and lines[at][0] == key:
-                    found.append((lines[at][2], int(lines[at][3]), int(lines[at][4])))
-                    at += 1
+    def lookup(self, url: str) -> list[dict[str, object]]:
+        """The parsed records of a URL."""
+        low = capture_key(url, None).encode("utf-8")
+        found = list(CaptureIndex(f"{self.path}/index", self.top()).search(low, low[:-1] + b"!"))
+        system, root = _file_system(f"{self.path}/records")
         records = []
-        for segment, offset, length in found:
-            data = self.segments.filter(F.col("segment") == segment).select(F.substring("data", offset + 1, length).alias("d")).first().d
-            records.append(parse_record(gzip.decompress(data)))
+        for _, file, offset, length in found:
+            with system.open_input_file(f"{root}/{file}") as f:
+                records.append(parse_record(zlib.decompress(f.read_at(length, offset), 31)))
         return records
 
-    def read(self) -> DataFrame:
-        """Every capture of the index with its record, read back from its byte range, its digest checked.
+    def captures(self, pages: DataFrame) -> DataFrame:
+        """The records of the given pages (page_id, url), found through the index and read by byte range.
 
-        (page_id, payload_bytes, payload_digest, record_type, refers_to, url). Segments are scanned
-        where they lie and cut at their entries; only the records' facts meet the index lines, by
-        segment and offset, so that no payload is shuffled. An entry without an index line, or the
-        reverse, would give a row too few; `missing` finds those.
+        (page_id, payload_bytes, payload_digest, record_type, refers_to, url). Keys are sorted, so
+        that a task's searches walk through few blocks; only keys and places are shuffled. A page
+        without a capture is an error.
         """
-        facts = self.segments.select("segment", "data", "entries").mapInArrow(_read_ranges, _RECORDS)
-        lines = self.index_lines().select(F.col("segment").alias("_s"), F.col("offset").alias("_o"), F.col("length").alias("_l"))
-        same = (F.col("segment") == F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("length") == F.col("_l"))
-        return facts.join(lines.hint("merge"), same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
-    def missing(self) -> DataFrame:
-        """(segment, offset) that only the segments or only the index has."""
-        own = self.segments.select("segment", F.explode("entries.offset").alias("offset"))
-        listed = self.index_lines().select("segment", "offset")
-        return own.exceptAll(listed).unionByName(listed.exceptAll(own))
+        def keys(batches):
+            import pyarrow as pa
 
+            for batch in batches:
+                made = [capture_key(u, i) for i, u in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["key"])
 
-_RECORDS = "segment string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+        asked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(keys, "key string")
+        ranged = asked.distinct().repartitionByRange("key").sortWithinPartitions("key")
+        search = partial(_search_keys, folder=f"{self.path}/index", top=self.top())
+        places = ranged.mapInArrow(search, "file string, offset long, length long").repartition("file").sortWithinPartitions("file", "offset")
+        return places.mapInArrow(partial(_read_records, folder=f"{self.path}/records"), _RECORDS)
 
+    def index_lines(self) -> DataFrame:
+        """(key, file, offset, length) of all lines of all index blocks."""
+        folder = f"{self.path}/index"
 
-def _read_ranges(batches) -> Iterator:
-    import pyarrow as pa
+        def unpack(batches):
+            import pyarrow as pa
 
-    schema = pa.schema([
-        ("segment", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-        ("refers_to", pa.int64()), ("url", pa.string()),
-    ])
-    for batch in batches:
-        for i in range(batch.num_rows):
-            segment, data, ranges = (batch.column(k)[i].as_py() for k in range(3))
-            rows = []
-            for r in ranges:
-                record = parse_record(zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31))
-                digest = base64.b32decode(str(record["warc-payload-digest"]).removeprefix("sha1:")).hex()
-                kind, payload = record["warc-type"], record["payload"]
-                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"payload digest of {record['warc-record-id']} does not match")
-                size = len(payload) if kind == "response" else int(record["x-payload-length"])
-                rows.append((segment, r["offset"], r["length"], _urn(record["warc-record-id"]), size, digest, kind, _urn(record.get("warc-refers-to")), record["warc-target-uri"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            for batch in batches:
+                for place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    index = CaptureIndex(folder, [])
+                    for _, block in index._read_page(place):
+                        lines = [[x.decode("utf-8") for x in line] for line in index._read_block(block)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([x[0] for x in lines]), pa.array([x[1] for x in lines]), pa.array([int(x[2]) for x in lines]), pa.array([int(x[3]) for x in lines])],
+                            names=["key", "file", "offset", "length"],
+                        )
+
+        top = self._spark.read.schema(_TOP).parquet(f"{self.path}/top")
+        return top.select("file", "offset", "length").mapInArrow(unpack, "key string, file string, offset long, length long")
+
+    def missing(self) -> DataFrame:
+        """(key, file, offset, length) that only the record files or only the index has."""
+        own, listed = self.entries.select("key", "file", "offset", "length"), self.index_lines()
+        return own.exceptAll(listed).unionByName(listed.exceptAll(own))
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write all pages (page_id, url, html) as WARC and read them back through the index.
+    """Write all pages (page_id, url, html) as WARC and read them back through the capture index.
 
     Per row: page_id, payload_bytes, payload_digest, record_type, refers_to and url. Null html
-    counts as empty, null and malformed URLs are kept as text; of rows repeated with one page_id
-    each has a record of the same kind, and a null page_id is never a revisit. An empty table gives
-    no rows; other columns are ignored.
+    counts as empty; null and malformed URLs are kept as text. Rows that share a page_id, or have
+    none, are records of their own, decided by their own payloads; a null page_id is never a
+    revisit, and of rows repeated whole all are of one kind. An empty table gives no rows; other
+    columns are ignored.
     """
-    return Archive.write(pages, path).read()
+    return Archive.write(pages, path).captures(pages)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
