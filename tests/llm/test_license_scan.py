@@ -44,10 +44,56 @@ def test_matches_brute_force_and_sql(spark, tmp_path):
     assert "gpl-3.0" in {x for r in got.values() for x in r.labels.split(",")}
 
 
-def test_no_python_in_the_plan_and_empty(spark):
-    df = documents(spark, ["cc by"]).selectExpr("*", "1 as w", "2 as hits")
+def noisy(rng, text, share):
+    """A licence text in capitals and with marks, some of its words replaced."""
+    return " ".join(("other" if rng.random() < share else w.upper() if rng.random() < 0.3 else w) + rng.choice(["", ",", ".", "\n"]) for w in text.split())
+
+
+def plain_labels(text):
+    """Labels by trying every word as a start of every template."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+    found = set()
+    for t in op.TEMPLATES:
+        body = (t.text or t.key).split()
+        for start in range(-len(body), len(w)):
+            stands = [0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(body)]
+            spots = [op._offset(body, p.split()) for p in (t.key, *t.must)]
+            if all(all(stands[a : a + len(p.split())]) for a, p in zip(spots, (t.key, *t.must))) and sum(stands) >= (op.COVERAGE if t.text else 1) * len(body):
+                found.add(t.label)
+                break
+    return ",".join(sorted(found))
+
+
+def test_licence_texts(spark):
+    rng = random.Random(11)
+    full = [t for t in op.TEMPLATES if t.text]
+    texts = [f"Copyright (c) 2020 {i}\n" + noisy(rng, t.text, rng.choice([0, 0, 0.05, 0.3])) + " more " + random_text(rng) for t in full for i in range(12)]
+    texts += [f"{t.text} {u.text}" for t in full for u in full[:4]]
+    got = {r.doc_id: r.labels for r in op.license_scan(documents(spark, texts)).collect()}
+    assert got == {i: plain_labels(t) for i, t in enumerate(texts)}
+    assert {t.label for t in full} <= {x for v in got.values() for x in v.split(",")}
+
+
+def test_postings_hold_the_rarest_words():
+    index = op.postings(["mit license", "gnu general public license"], {"mit": 5, "license": 90, "gnu": 7, "general": 3, "public": 40})
+    assert index == {"mit": [(0, 0, 0)], "license": [(0, 1, 1)], "general": [(1, 1, 0)], "gnu": [(1, 0, 1)]}
+
+
+def test_places_repeat_within_long_texts(spark):
+    texts = ["apache license " * 30_000, "licensed under the apache license version 2 0 " * 5_000, "word " * 300_000 + "cc by"]
+    got = {r.doc_id: r for r in op.license_scan(documents(spark, texts)).collect()}
+    assert [(got[i].n_base, got[i].labels) for i in range(3)] == [(30_000, "apache"), (5_000, "apache,apache-2.0"), (1, "cc-by")]
+
+
+def test_no_python_in_the_plan_empty_repeated_and_clashing(spark):
+    names = ["w", "hits", "found", "at", "starts", "agreed", "n_words", "LABELS"]
+    df = documents(spark, ["cc by"]).selectExpr("*", *[f"'mine' as `{n}`" for n in names])
     out = op.license_scan(df)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert out.first().n_base == 1
     assert op.license_scan(documents(spark, [])).count() == 0
+    rows = [(1, "MIT license"), (1, "MIT license"), (1, "x"), (None, "cc-by"), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels) for r in op.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, ""), (0, 2, "cc-by"), (1, 1, ""), (1, 2, "mit"), (1, 2, "mit")]
