@@ -109,18 +109,19 @@ FILTER_BITS = 1 << 25
 SALTS, HOT_KEYS = 32, 500
 
 
-def in_bit_set(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows with a column in_set: false only where rows.key is in no row of keys.key (long).
+def in_bit_set(rows: DataFrame, keys: DataFrame, key: str, flag: str = "in_set") -> DataFrame:
+    """rows with a column `flag`: false only where rows.key is in no row of keys.key (long).
 
     The set has FILTER_BITS bits however large the input is, so it may be broadcast. It keeps rows
     out of the exact join that must follow; where it is nearly full it keeps fewer out.
     """
-    slot = (F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).alias("_slot")
-    bits = keys.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    placed = rows.select("*", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = placed.join(F.broadcast(bits), "_bucket", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
-    return hit.select(*rows.columns, F.expr("(shiftright(_byte, _at % 8) & 1) = 1").alias("in_set"))
+    slot, bucket, at, bits, byte = free_names(rows, "_slot", "_bucket", "_at", "_bits", "_byte")
+    number = (F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).alias(slot)
+    sets = keys.select(number).groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
+    placed = rows.withColumn(slot, number).withColumn(bucket, F.bitmap_bucket_number(slot)).withColumn(at, F.bitmap_bit_position(slot).cast("int"))
+    value = F.conv(F.hex(F.substring(F.col(bits), (F.floor(F.col(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = placed.join(F.broadcast(sets), bucket, "left").withColumn(byte, F.coalesce(value, F.lit(0)))
+    return hit.select(*[F.col(f"`{c}`") for c in rows.columns], F.expr(f"(shiftright({byte}, {at} % 8) & 1) = 1").alias(flag))
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: str, spread: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
