@@ -184,7 +184,10 @@ def phrase_places(files: DataFrame, phrases: list[str], index: dict[str, list[tu
     starts = asked.withColumn("starts", F.expr(
         f"flatten(transform(at, k -> transform(element_at({posted}, get(hits, k).w), e -> struct(e.t as t, k - e.o as i, e.r as r))))"
     ))
-    agreed = "array_intersect({0}, {1})".format(*(f"transform(filter(starts, x -> x.r = {r}), x -> struct(x.t as t, x.i as i))" for r in (0, 1)))
+    # Phrase and start as one number, of which sets are hashed; no start lies more than a phrase before the first hit.
+    shift = max(len(p.split()) for p in phrases)
+    agreed = "array_intersect({0}, {1})".format(*(f"transform(filter(starts, x -> x.r = {r}), x -> x.t * {1 << 32} + x.i + {shift})" for r in (0, 1)))
+    agreed = f"transform({agreed}, c -> struct(cast(c div {1 << 32} as int) as t, cast(c % {1 << 32} as int) - {shift} as i))"
     word = "get(hits, c.i + j).w = get(get(texts, c.t), j) and get(hits, c.i + j).p = get(hits, c.i).p + j".replace("texts", texts)
     checked = starts.withColumn("agreed", F.expr(f"if(size(starts) = 0, cast(array() as array<struct<t:int,i:int>>), {agreed})"))
     found = f"filter(agreed, c -> forall(sequence(0, size(get({texts}, c.t)) - 1), j -> coalesce({word}, false)))"
@@ -207,7 +210,8 @@ def template_tests(templates: tuple[Template, ...], phrases: list[str]) -> list[
             both = f"array_intersect({both}, {more})"
         window = f"slice(hits, greatest(x.i - {off}, 0) + 1, {off + len(text)})"
         right = f"h -> h.p >= x.s - {off} and h.p < x.s - {off} + {len(text)} and get({_strings(text)}, h.p - x.s + {off}) = h.w"
-        tests.append(f"exists({keys}, x -> array_contains({both}, x.s - {off}) and size(filter({window}, {right})) >= {COVERAGE} * {len(text)})")
+        enough = f"exists({keys}, x -> array_contains(starts, x.s - {off}) and size(filter({window}, {right})) >= {COVERAGE} * {len(text)})"
+        tests.append(f"coalesce(get(transform(array({both}), starts -> {enough}), 0), false)")  # starts are found once
     return tests
 
 
