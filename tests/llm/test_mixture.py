@@ -86,8 +86,8 @@ def by_tree(words, sizes, level):
     return out
 
 
-def brute(data):
-    """Words taken per row: words listed one by one, blocks of them in order of hash."""
+def brute(data, keyed=False):
+    """Words taken per row: words listed one by one, blocks of them in order of hash; with `keyed` doc_id is a row key too."""
     sizes = [len((t or "").split()) for _, t, *_ in data]
     names = sorted({s for *_, s, _ in data if s is not None}) + [None] * any(s is None for *_, s, _ in data)
     own = {s: [k for k, r in enumerate(data) if r[3] == s] for s in names}
@@ -102,7 +102,7 @@ def brute(data):
         shards = {}
         for k in own[s]:
             text = data[k][1]
-            draw = chain(op.SEED, data[k][0], None if text is None else chain(text))
+            draw = chain(op.SEED, data[k][0], None if text is None else chain(text), data[k][0] if keyed else None)
             shards.setdefault(draw % count, []).append((draw, data[k][0] if data[k][0] is not None else -1, sizes[k], k))
         numbers = sorted(shards)
         lists = [[k for *_, n, k in sorted(shards[h]) for _ in range(n)] for h in numbers]
