@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.new_path(spark, f"pipeline-{name}")
+        docs = common.written(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            common.remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
