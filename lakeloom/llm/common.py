@@ -52,14 +52,14 @@ def clean_up(spark: SparkSession) -> None:
     remove(spark, _folder(spark))
 
 
-def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing.
 
     Tables stay until `clean_up`, as results read them; rounds of a loop give a path and remove it.
     """
     spark = df.sparkSession
     path = path or new_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

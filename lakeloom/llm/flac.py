@@ -747,7 +747,7 @@ def media_digests(df: DataFrame) -> DataFrame:
     rows and null ids stand for themselves and equal texts give equal values; an empty table gives
     no rows, and other columns are ignored.
     """
-    return described(written(store_media(df), "media"))
+    return described(written(store_media(df), "media", codec="zstd"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
