@@ -75,7 +75,7 @@ def need_checkpoint_folder(df: DataFrame) -> None:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
 
@@ -107,12 +107,37 @@ def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("doc_id").join(by, "doc_id", "left")
 
 
+#: Held-out n-grams up to this number are broadcast as 64-bit hashes; beyond it the join is shuffled.
+BROADCAST_GRAMS = 1_000_000
+
+
+def gram_hashes(words: Column, size: int) -> Column:
+    """Distinct 64-bit hashes of a word array's n-grams, from the words where they lie; shorter arrays have none."""
+    def build(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+        return F.when(F.size(w) >= size, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return X.let(words, build)
+
+
+def known_hashes(held_out: DataFrame, hashes: Column) -> DataFrame:
+    """(h): the distinct hashes, marked for broadcast if their number allows it."""
+    wanted = held_out.select(F.explode(hashes).alias("h")).distinct()
+    return F.broadcast(wanted) if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else wanted
+
+
 def contaminated(docs: DataFrame, held_out: DataFrame, size: int, least: int, lower: bool = False) -> DataFrame:
-    """(doc_id, hits): documents that share at least `least` distinct word n-grams with held-out texts."""
-    def grams(t: Column) -> Column:
-        t = F.coalesce(t, F.lit(""))
-        return X.word_shingles(X.space_words(F.lower(t) if lower else t), size, "none")
+    """(doc_id, hits): documents that share at least `least` distinct word n-grams with held-out texts.
 
-    wanted = held_out.select(F.explode(grams(F.col("text"))).alias("g")).distinct()
-    have = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("g"))
-    return have.join(wanted, "g", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least)
+    N-grams meet as 64-bit hashes; the few documents with enough of them are compared by the n-grams themselves.
+    """
+    def split(t: Column) -> Column:
+        t = F.coalesce(t, F.lit(""))
+        return X.space_words(F.lower(t) if lower else t)
+
+    hashes = gram_hashes(split(F.col("text")), size)
+    found = docs.select("doc_id", F.explode(hashes).alias("h")).join(known_hashes(held_out, hashes), "h", "left_semi")
+    likely = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("doc_id")
+    grams = F.explode(X.word_shingles(split(F.col("text")), size, "none")).alias("g")
+    have = docs.join(likely, "doc_id", "left_semi").select("doc_id", grams)
+    return have.join(held_out.select(grams).distinct(), "g", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least)

@@ -29,6 +29,17 @@ MIN_WORDS, MIN_MEAN_LENGTH, MAX_MEAN_LENGTH = 20, 1.5, 15.0
 MAX_SYMBOL_RATIO, MAX_DUPLICATE_LINES, MIN_STOPWORDS, STOPWORD_WINDOW = 0.12, 0.35, 2, 250
 
 
+# Weights and scales of the composite score, and the length from which a document is long.
+SCORE_BASE, SCORE_LENGTH, SCORE_DENSITY, FULL_CHARS, FULL_LINE, LONG_CHARS = 0.5, 0.3, 0.2, 800.0, 200.0, 2400
+
+
+def quality_score(purity: Column, chars: Column, lines: Column) -> Column:
+    """Share of letters in the expected script, weighted by how long the text and its lines are; six decimals."""
+    length = F.least(F.lit(1.0), chars / FULL_CHARS)
+    density = F.least(F.lit(1.0), chars / lines / FULL_LINE)
+    return F.round(purity * (F.lit(SCORE_BASE) + F.lit(SCORE_LENGTH) * length + F.lit(SCORE_DENSITY) * density), 6)
+
+
 def stopword_list(lang: Column) -> Column:
     """The language's function words, English where it has none."""
     chosen = F.when(F.lit(False), F.array(F.lit("")))

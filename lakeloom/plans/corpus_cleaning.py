@@ -76,22 +76,36 @@ def label_confusion(spark, sf):
 
 
 def label_join_missing(spark, sf):
-    labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents").select("doc_id", "lang")
-    half = docs.filter("doc_id % 3 <> 0")
-    return labels.join(half, "doc_id", "left").agg(
+    """Labels without a document, after every third is renamed to one that is not there."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    labels = table(spark, sf, "labels").withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")))
+    return labels.join(docs, "doc_id", "left").agg(
         F.count(F.lit(1)).alias("labels"), F.count_if(F.col("lang").isNull()).alias("missing"),
     )
 
 
+#: Letters of the Latin blocks up to U+024F.
+LATIN = "[A-Za-zªºÀ-ÖØ-öø-ɏ]"
+
+
 def quality_median_tier(spark, sf):
-    """Score per document and a split at the upper median of its language."""
+    """Composite score per document and a split at the upper median of its language; long documents go to a lane of their own.
+
+    The median is found by counting rows per score, so that no language is sorted in one task.
+    """
     from pyspark.sql import Window
 
-    d = _signals(spark, sf).filter("n_words > 0").select("doc_id", "lang", (F.col("stopword_hits") * 1000 + F.col("n_words") % 1000).alias("score"))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.length(t).alias("n"), (F.regexp_count(t, F.lit("\n")) + 1).alias("lines"),
+                                             F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(t, F.lit(LATIN)).alias("latin"))
+    d = d.filter("letters > 0").select("doc_id", "lang", Q.quality_score(F.col("latin") / F.col("letters"), F.col("n"), F.col("lines")).alias("score"), (F.col("n") >= Q.LONG_CHARS).alias("long"))
+    per = d.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang")
-    ranked = d.withColumn("rn", F.row_number().over(w.orderBy("score", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    middle = ranked.withColumn("median", F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2) + 1, F.col("score"))).over(w))
-    return middle.select("doc_id", "lang", "score", F.when(F.col("score") >= F.col("median"), "high").otherwise("low").alias("tier"))
+    per = per.withColumn("upto", F.sum("n").over(w.orderBy("score"))).withColumn("all", F.sum("n").over(w))
+    median = per.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("lang").agg(F.min("score").alias("median"))
+    both = d.join(median.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")))
+    lane = F.when(F.col("long"), "long_context").otherwise(F.coalesce("lang", F.lit("none")))
+    return both.select("doc_id", "score", F.when(F.col("score") >= F.col("median"), "verified").otherwise("unverified").alias("tier"), lane.alias("lane"))
 
 
 def lang_script_profile(spark, sf):
@@ -100,32 +114,48 @@ def lang_script_profile(spark, sf):
     return d.groupBy("lang").agg(F.sum(letters).alias("letters"), F.sum(latin).alias("ascii_letters"), F.sum(marked).alias("marked_letters"))
 
 
-_DETECT = {"fr": ("é", "è", "ê", "ç"), "de": ("ä", "ö", "ü", "ß"), "es": ("ó", "í", "ñ", "á")}
+_DETECT = {"fr": "éèêçàù", "de": "äöüß", "es": "óíñáú"}
 _ISO3 = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}
 
 
+def detected_language(text):
+    """The language with most function words and letters of its own in the whole text; ties go to the first of en, fr, de, es."""
+    words = X.letter_runs(F.lower(text))
+    hits = F.transform(words, lambda w: F.array(*[w.isin(*Q.STOPWORDS[k]).cast("int") for k in _ISO3]))
+
+    def best(totals):
+        each = [F.get(totals, F.lit(i)) + (F.regexp_count(text, F.lit(f"[{_DETECT[k]}]")) if k in _DETECT else F.lit(0)) for i, k in enumerate(_ISO3)]
+        top = F.greatest(*each)
+        found = F.when(each[0] == top, "en")
+        for k, v in list(zip(_ISO3, each, strict=True))[1:]:
+            found = found.when(v == top, k)
+        return found
+
+    zero = F.array(*[F.lit(0)] * len(_ISO3))
+    return X.let(F.aggregate(hits, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), best)
+
+
 def langid_mismatch(spark, sf):
-    """Language by marked letters against the claimed one; short texts are kept unjudged."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), 1, 4000).alias("t"))
-    score = {k: sum((F.regexp_count("t", F.lit(c)) for c in v), F.lit(0)) for k, v in _DETECT.items()}
-    best = F.greatest(*score.values())
-    found = F.when(best == 0, "en")
-    for k in ("fr", "de", "es"):
-        found = found.when(score[k] == best, k)
+    """Detected language against the claimed one; short texts are kept unjudged."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     iso = F.create_map(*[F.lit(x) for kv in _ISO3.items() for x in kv])
-    d = d.withColumn("detected", F.coalesce(iso[found], found)).withColumn("claimed", F.coalesce(iso[F.col("lang")], F.col("lang")))
+    d = d.withColumn("found", detected_language(F.col("t")))
+    d = d.withColumn("detected", F.coalesce(iso[F.col("found")], F.col("found"))).withColumn("claimed", F.coalesce(iso[F.col("lang")], F.col("lang")))
     status = F.when(F.length("t") < 40, "too_short_to_judge_kept").when(F.col("detected") == F.col("claimed"), "match").otherwise("mismatch")
     return d.groupBy("claimed", "detected", status.alias("status")).agg(F.count(F.lit(1)).alias("docs"))
 
 
 def _detect_sql():
-    s = {k: " + ".join(f"(length(t) - length(replace(t, '{c}', '')))" for c in v) for k, v in _DETECT.items()}
+    def score(k):
+        words = f"len(list_filter(w, lambda x: list_contains([{', '.join(map(repr, Q.STOPWORDS[k]))}], x)))"
+        return words + (f" + len(regexp_extract_all(t, '[{_DETECT[k]}]'))" if k in _DETECT else "")
+
+    each = ", ".join(f"{score(k)} AS {k}" for k in _ISO3)
     m = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _ISO3.items())
-    return f"""
-WITH b AS (SELECT doc_id, lang, substr(coalesce(text, ''), 1, 4000) AS t FROM documents),
-s AS (SELECT *, {s['fr']} AS fr, {s['de']} AS de, {s['es']} AS es FROM b),
-f AS (SELECT *, CASE WHEN greatest(fr, de, es) = 0 THEN 'en' WHEN fr = greatest(fr, de, es) THEN 'fr'
-  WHEN de = greatest(fr, de, es) THEN 'de' ELSE 'es' END AS found FROM s),
+    return rf"""
+WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
+s AS (SELECT lang, t, {each} FROM b),
+f AS (SELECT *, CASE greatest(en, fr, de, es) WHEN en THEN 'en' WHEN fr THEN 'fr' WHEN de THEN 'de' ELSE 'es' END AS found FROM s),
 i AS (SELECT t, CASE found {m} ELSE found END AS detected, CASE lang {m} ELSE lang END AS claimed FROM f)
 SELECT claimed, detected, CASE WHEN length(t) < 40 THEN 'too_short_to_judge_kept' WHEN detected = claimed THEN 'match' ELSE 'mismatch' END AS status,
   count(*) AS docs FROM i GROUP BY ALL"""
@@ -154,14 +184,14 @@ _NOISY_SQL = "chr(65279) || text || chr(8203) || chr(173) || '  x' || chr(8205)
 
 
 def noise_inventory(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 7 = 0").select(F.expr(_NOISY).alias("t"), "lang")
+    d = table(spark, sf, "documents").select(F.expr(_NOISY).alias("t"), "lang")
     counts = C.noise_counts(F.col("t"))
     one = d.select("lang", F.explode(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), v)])).alias("noise", "n"))
     return one.filter("n > 0").groupBy("lang", "noise").agg(F.sum("n").alias("n"))
 
 
 def whitespace_normalized_hash(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 7 = 0").select("doc_id", F.expr(_NOISY).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_NOISY).alias("t"))
     clean = C.collapse_space(C.strip_noise(F.col("t")))
     return d.select("doc_id", X.content_hash(clean).alias("hash"), F.length(clean).alias("n_chars"), F.regexp_count("t", F.lit(C.JOINERS)).alias("joiners"))
 
@@ -280,14 +310,23 @@ def license_gate(spark, sf):
     return d.groupBy("license", C.license_status(F.col("license")).alias("status")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("chars"))
 
 
+#: Documents of a leaf of the manifest's hash tree.
+LEAF_DOCS = 256
+
+
 def source_manifest(spark, sf):
+    """Counts per source and a hash over its documents in order: hashes of leaves of ids, and the hash of those.
+
+    A leaf covers a range of doc_ids, so that what is gathered is bounded per leaf and 64 bytes a leaf above it.
+    """
     d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
     one = d.select("source", "doc_id", F.size(X.space_words(F.col("t"))).alias("words"), F.length("t").alias("chars"), F.sha2("t", 256).alias("h"))
-    # A hash over the ordered hashes of the documents, so that no group's texts are gathered.
-    return one.groupBy("source").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum("chars").alias("chars"),
-        F.sha2(F.expr("listagg(h, '') within group (order by doc_id)"), 256).alias("content_hash"),
-    )
+    tree = lambda what, order: F.sha2(F.expr(f"listagg({what}, '') within group (order by {order})"), 256)
+    counts = [F.sum("docs").alias("docs"), F.sum("words").alias("words"), F.sum("chars").alias("chars")]
+    leaf = one.groupBy("source", F.floor(F.col("doc_id") / LEAF_DOCS).alias("leaf")).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), tree("h", "doc_id").alias("h"))
+    branch = leaf.groupBy("source", F.floor(F.col("leaf") / LEAF_DOCS).alias("branch")).agg(*counts, tree("h", "leaf").alias("h"))
+    return branch.groupBy("source").agg(*counts, tree("h", "branch").alias("content_hash"))
 
 
 def lang_breakdown_map(spark, sf):
@@ -306,20 +345,22 @@ def corpus_manifest(spark, sf):
 
 
 def clean_funnel(spark, sf):
-    """Rows that each stage of cleaning leaves: quality, exact dedup, decontamination."""
-    from lakeloom.operators.dedup import contaminated
+    """Rows that each stage of cleaning leaves: quality, exact dedup, decontamination.
+
+    Signals are made once; what follows reads an id, a hash and a verdict a document.
+    """
+    from lakeloom.operators.dedup import contaminated, need_checkpoint_folder
 
     docs = _signals(spark, sf)
-    good = docs.filter("fail_reason is null")
-    first = good.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    bad = contaminated(good.select("doc_id", "text"), table(spark, sf, "benchmark"), 10, 2).select("doc_id")
-    clean = first.join(bad, "doc_id", "left_anti")
-    stages = [(0, "input", table(spark, sf, "documents")), (1, "quality", good), (2, "exact_dedup", first), (3, "decontaminate", clean)]
-    parts = [df.agg(F.count(F.lit(1)).alias("docs")).select(F.lit(i).alias("step"), F.lit(n).alias("stage"), "docs") for i, n, df in stages]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    need_checkpoint_folder(docs)
+    facts = docs.select("doc_id", F.sha2("text", 256).alias("h"), F.col("fail_reason").isNull().alias("good")).checkpoint()
+    first = facts.filter("good").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    bad = contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), 10, 2).select("doc_id", F.lit(True).alias("bad"))
+    kept = first.join(bad, "doc_id", "left").agg(F.count(F.lit(1)).alias("first"), F.count_if(F.col("bad").isNull()).alias("clean"))
+    counts = facts.agg(F.count(F.lit(1)).alias("input"), F.count_if("good").alias("quality")).join(kept, how="cross")  # one row each
+    stages = [("input", "input"), ("quality", "quality"), ("exact_dedup", "first"), ("decontaminate", "clean")]
+    rows = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("stage"), F.col(c).alias("docs")) for i, (n, c) in enumerate(stages)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 _GRAMS = r"CASE WHEN len(w) >= @n THEN list_distinct(list_transform(range(1, len(w) - (@n - 2)), lambda i: array_to_string(list_slice(w, i, i + @n - 1), ' '))) ELSE [] END"
@@ -356,21 +397,23 @@ QUERIES = {
     "quality_fail_reasons": (quality_fail_reasons, f"WITH {SIGNALS_SQL} SELECT coalesce(fail_reason, 'kept') AS reason, count(*) AS docs FROM v GROUP BY 1"),
     "quality_by_lang": (quality_by_lang, f"WITH {SIGNALS_SQL} SELECT lang, count(*) AS docs, count(*) FILTER (fail_reason IS NULL) AS kept, sum(n_words)::BIGINT AS words FROM v GROUP BY lang"),
     "quality_features": (quality_features, f"WITH {SIGNALS_SQL} SELECT doc_id, n_words, coalesce(terminal_lines / nullif(n_lines, 0), 1.0) AS terminal_ratio, coalesce(duplicate_lines / nullif(n_lines, 0), 0.0) AS duplicate_ratio FROM v"),
-    "quality_median_tier": (quality_median_tier, f"""WITH {SIGNALS_SQL}, r AS (SELECT doc_id, lang, stopword_hits * 1000 + n_words % 1000 AS score FROM v WHERE n_words > 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM r),
-m AS (SELECT *, max(CASE WHEN rn = n // 2 + 1 THEN score END) OVER (PARTITION BY lang) AS median FROM n)
-SELECT doc_id, lang, score, CASE WHEN score >= median THEN 'high' ELSE 'low' END AS tier FROM m"""),
+    "quality_median_tier": (quality_median_tier, r"""WITH d AS (SELECT doc_id, lang, length(coalesce(text, '')) AS n, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS lines,
+  len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS letters, len(regexp_extract_all(coalesce(text, ''), '[A-Za-zªºÀ-ÖØ-öø-ɏ]')) AS latin FROM documents),
+s AS (SELECT doc_id, lang, n, round((latin / letters) * (0.5::DOUBLE + 0.3::DOUBLE * least(1.0::DOUBLE, n / 800.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, n / lines / 200.0::DOUBLE)), 6) AS score FROM d WHERE letters > 0),
+m AS (SELECT lang, score AS median FROM (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY score) AS rn, count(*) OVER (PARTITION BY lang) AS c FROM s) WHERE rn = c // 2 + 1)
+SELECT doc_id, score, CASE WHEN score >= median THEN 'verified' ELSE 'unverified' END AS tier, CASE WHEN n >= 2400 THEN 'long_context' ELSE coalesce(s.lang, 'none') END AS lane
+FROM s JOIN m ON s.lang IS NOT DISTINCT FROM m.lang"""),
     "label_confusion": (label_confusion, f"""WITH {SIGNALS_SQL}, j AS (SELECT quality AS t, (fail_reason IS NULL)::INT AS g FROM v JOIN labels USING (doc_id)),
 c AS (SELECT count(*) FILTER (t = 1 AND g = 1) AS tp, count(*) FILTER (t = 0 AND g = 1) AS fp, count(*) FILTER (t = 1 AND g = 0) AS fn, count(*) FILTER (t = 0 AND g = 0) AS tn FROM j)
 SELECT *, (tp + tn) / nullif(tp + fp + fn + tn, 0) AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c"""),
-    "label_join_missing": (label_join_missing, "SELECT count(*) AS labels, count(*) FILTER (lang IS NULL) AS missing FROM labels LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0) USING (doc_id)"),
+    "label_join_missing": (label_join_missing, "SELECT count(*) AS labels, count(*) FILTER (lang IS NULL) AS missing FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM labels) LEFT JOIN documents USING (doc_id)"),
     "lang_script_profile": (lang_script_profile, r"SELECT lang, sum(len(regexp_extract_all(text, '\p{L}')))::BIGINT AS letters, sum(len(regexp_extract_all(text, '[A-Za-z]')))::BIGINT AS ascii_letters, sum(len(regexp_extract_all(text, '[À-ÖØ-öø-ÿ]')))::BIGINT AS marked_letters FROM documents GROUP BY lang"),
     "langid_mismatch": (langid_mismatch, _detect_sql()),
     "faithful_units_by_lang": (faithful_units_by_lang, r"SELECT lang, sum(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')))::BIGINT AS units, sum(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+')))::BIGINT AS words FROM documents GROUP BY lang"),
     "word_count_hist": (word_count_hist, r"SELECT len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) // 100 AS bucket, count(*) AS docs FROM documents GROUP BY 1"),
     "glued_words": (glued_words, r"SELECT lang, sum(len(regexp_extract_all(text, '[\p{L}\p{M}]+(?:[''’-][\p{L}\p{M}]+)?')))::BIGINT AS glued FROM documents GROUP BY lang"),
-    "noise_inventory": (noise_inventory, f"WITH d AS (SELECT lang, {_NOISY_SQL} AS t FROM documents WHERE doc_id % 7 = 0), n AS (" + " UNION ALL ".join(f"SELECT lang, '{n}' AS noise, length(t) - length(replace(t, chr({cp}), '')) AS n FROM d" for cp, n in C.NOISE.items()) + ") SELECT lang, noise, sum(n)::BIGINT AS n FROM n WHERE n > 0 GROUP BY ALL"),
-    "whitespace_normalized_hash": (whitespace_normalized_hash, f"WITH d AS (SELECT doc_id, {_NOISY_SQL} AS t FROM documents WHERE doc_id % 7 = 0), c AS (SELECT doc_id, t, {_SPACE_SQL.replace('CLEAN', _STRIP_SQL)} AS c FROM d) SELECT doc_id, sha256(c) AS hash, length(c) AS n_chars, len(regexp_extract_all(t, '[\\x{{200C}}\\x{{200D}}]')) AS joiners FROM c"),
+    "noise_inventory": (noise_inventory, f"WITH d AS (SELECT lang, {_NOISY_SQL} AS t FROM documents), n AS (" + " UNION ALL ".join(f"SELECT lang, '{n}' AS noise, length(t) - length(replace(t, chr({cp}), '')) AS n FROM d" for cp, n in C.NOISE.items()) + ") SELECT lang, noise, sum(n)::BIGINT AS n FROM n WHERE n > 0 GROUP BY ALL"),
+    "whitespace_normalized_hash": (whitespace_normalized_hash, f"WITH d AS (SELECT doc_id, {_NOISY_SQL} AS t FROM documents), c AS (SELECT doc_id, t, {_SPACE_SQL.replace('CLEAN', _STRIP_SQL)} AS c FROM d) SELECT doc_id, sha256(c) AS hash, length(c) AS n_chars, len(regexp_extract_all(t, '[\\x{{200C}}\\x{{200D}}]')) AS joiners FROM c"),
     "char_shrink": (char_shrink, f"WITH d AS (SELECT lang, coalesce(text, '') AS t FROM documents) SELECT lang, sum(length(t))::BIGINT AS before, sum(length({_SPACE_SQL.replace('CLEAN', 't')}))::BIGINT AS after FROM d GROUP BY lang"),
     "canonical_hash": (canonical_hash, r"SELECT doc_id, sha256(nfc_normalize(regexp_replace(coalesce(text, '') || chr(13) || chr(10) || 'e' || chr(769) || chr(13), '\r\n?', chr(10), 'g'))) AS hash FROM documents"),
     "framed_hash": (framed_hash, "SELECT doc_id, sha256(strlen(coalesce(source, '')) || chr(31) || coalesce(source, '') || chr(30) || strlen(coalesce(text, '')) || chr(31) || coalesce(text, '') || chr(30)) AS hash FROM documents"),
@@ -391,7 +434,10 @@ SELECT lang, count(*) AS pages, count(nullif(title, '')) AS titled, min(title) A
     "admission_pii": (admission_pii, None),
     "pii_coverage": (pii_coverage, "SELECT sum(least(length(coalesce(text, '')), 1000))::BIGINT AS scanned, sum(length(coalesce(text, '')))::BIGINT AS chars, count(*) FILTER (length(coalesce(text, '')) > 1000) AS longer FROM documents"),
     "license_gate": (license_gate, f"WITH d AS (SELECT {list(_LICENSES)}[doc_id % 7 + 1] AS license, length(text) AS n FROM documents) SELECT license, {_STATUS_SQL} AS status, count(*) AS docs, sum(n)::BIGINT AS chars FROM d GROUP BY ALL"),
-    "source_manifest": (source_manifest, r"WITH d AS (SELECT source, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS words, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS h FROM documents) SELECT source, count(*) AS docs, sum(words)::BIGINT AS words, sum(chars)::BIGINT AS chars, sha256(string_agg(h, '' ORDER BY doc_id)) AS content_hash FROM d GROUP BY source"),
+    "source_manifest": (source_manifest, r"""WITH d AS (SELECT source, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS words, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS h FROM documents),
+l AS (SELECT source, doc_id // 256 AS leaf, count(*) AS docs, sum(words) AS words, sum(chars) AS chars, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM d GROUP BY ALL),
+b AS (SELECT source, leaf // 256 AS branch, sum(docs) AS docs, sum(words) AS words, sum(chars) AS chars, sha256(string_agg(h, '' ORDER BY leaf)) AS h FROM l GROUP BY ALL)
+SELECT source, sum(docs)::BIGINT AS docs, sum(words)::BIGINT AS words, sum(chars)::BIGINT AS chars, sha256(string_agg(h, '' ORDER BY branch)) AS content_hash FROM b GROUP BY source"""),
     "lang_breakdown_map": (lang_breakdown_map, """WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, '{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '}' AS langs FROM c GROUP BY source"""),
     "corpus_manifest": (corpus_manifest, rf"WITH d AS (SELECT {list(_LICENSES)}[substr(source, 4)::INT % 7 + 1] AS license, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS words, source FROM documents), s AS (SELECT *, {_STATUS_SQL} = 'CLEAN' AS ships FROM d) SELECT count(*) AS docs, sum(words)::BIGINT AS words, sum(CASE WHEN ships THEN 0 ELSE words END)::BIGINT AS blocked_words, count(DISTINCT CASE WHEN NOT ships THEN source END) AS blocked_sources, bool_and(ships) AS all_ship FROM s"),
 }

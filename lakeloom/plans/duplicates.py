@@ -113,7 +113,7 @@ def threshold_sweep(spark, sf):
 
 def char_shingle_sizes(spark, sf):
     t = F.trim(F.regexp_replace(F.col("text"), r"[ \t\n\r]+", " "))
-    return _docs(spark, sf).select("doc_id", F.size(X.char_shingles(F.substring(t, 1, 300), 5)).alias("shingles"))
+    return _docs(spark, sf).select("doc_id", F.size(X.char_shingles(t, 5)).alias("shingles"))
 
 
 def contamination_2x10gram(spark, sf):
@@ -126,10 +126,14 @@ def _suite(item):
 
 def decon_12gram_rate(spark, sf):
     """Documents with a 12-gram of a suite; a gram belongs to its first suite."""
-    g = lambda t: X.word_shingles(X.space_words(F.lower(F.coalesce(t, F.lit("")))), 12, "none")
-    index = table(spark, sf, "benchmark").select(_suite(F.col("item_id")).alias("suite"), F.explode(g(F.col("text"))).alias("g"))
-    owner = index.groupBy("g").agg(F.min("suite").alias("suite"))
-    hits = _docs(spark, sf).select("doc_id", F.explode(g(F.col("text"))).alias("g")).join(owner, "g").select("doc_id", "suite").distinct()
+    words = X.space_words(F.lower(F.coalesce("text", F.lit(""))))
+    g = F.explode(X.word_shingles(words, 12, "none")).alias("g")
+    held, docs = table(spark, sf, "benchmark"), _docs(spark, sf)
+    owner = held.select(_suite(F.col("item_id")).alias("suite"), g).groupBy("g").agg(F.min("suite").alias("suite"))
+    # 64-bit hashes find the few documents whose n-grams are compared as they are.
+    hashes = D.gram_hashes(words, 12)
+    likely = docs.select("doc_id", F.explode(hashes).alias("h")).join(D.known_hashes(held, hashes), "h", "left_semi").select("doc_id").distinct()
+    hits = docs.join(likely, "doc_id", "left_semi").select("doc_id", g).join(owner, "g").select("doc_id", "suite").distinct()
     n = _docs(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     return hits.groupBy("suite").agg(F.count(F.lit(1)).alias("docs")).join(n, how="cross").select("suite", "docs", (F.col("docs") / F.col("n")).alias("rate"), (F.lit(3.0) / F.col("n")).alias("floor"))
 
@@ -144,12 +148,13 @@ def benchmark_index_stats(spark, sf):
 def firewall_verdicts(spark, sf):
     """Blocked documents: same content, a canary, or a tenth of their 8-grams held out."""
     docs, held = _docs(spark, sf), table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    g = lambda: X.word_shingles(X.space_words(F.lower("text")), 8, "whole")
-    exact = docs.join(held.select(F.sha2("text", 256).alias("h")).distinct(), F.sha2("text", 256) == F.col("h"), "left_semi").select("doc_id", F.lit(1).alias("exact"))
-    wanted = held.select(F.explode(g()).alias("g")).distinct().withColumn("hit", F.lit(1))
-    share = docs.select("doc_id", F.explode(g()).alias("g")).join(wanted, "g", "left").groupBy("doc_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("grams"))
-    joined = docs.join(share, "doc_id").join(exact, "doc_id", "left")
-    verdict = F.when(F.col("exact") == 1, "exact").when(F.col("text").contains("canary-7f3a"), "canary").when(F.col("hits") * 10 >= F.col("grams"), "overlap").otherwise("admit")
+    hashes = X.let(X.space_words(F.lower("text")), lambda w: F.when(F.size(w) >= 8, D.gram_hashes(w, 8)).otherwise(F.array(F.xxhash64(F.array_join(w, " ")))))
+    texts = held.select(F.sha2("text", 256).alias("h")).distinct().withColumn("exact", F.lit(True))
+    # Counted by 64-bit hashes: a share of n-grams; of a document that has none held out only the number is needed.
+    found = docs.select("doc_id", F.explode(hashes).alias("h")).join(D.known_hashes(held, hashes), "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    joined = docs.select("doc_id", F.size(hashes).cast("long").alias("grams"), F.sha2("text", 256).alias("h"), F.col("text").contains("canary-7f3a").alias("canary"))
+    joined = joined.join(found, "doc_id", "left").join(texts, "h", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    verdict = F.when(F.col("exact"), "exact").when(F.col("canary"), "canary").when(F.col("hits") * 10 >= F.col("grams"), "overlap").otherwise("admit")
     return joined.select("doc_id", "hits", "grams", verdict.alias("verdict"))
 
 
@@ -198,7 +203,7 @@ QUERIES = {
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, f"WITH {_SIG}, j AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) AS n FROM pr JOIN sg x ON x.doc_id = a JOIN sg y ON y.doc_id = b) SELECT a, b, shared, n - shared AS total FROM j WHERE shared * 10 >= (n - shared) * 5"),
     "lfmis_survivors": (lfmis_survivors, None),
     "threshold_sweep": (threshold_sweep, None),
-    "char_shingle_sizes": (char_shingle_sizes, rf"WITH {_D}, t AS (SELECT doc_id, substr(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), 1, 300) AS t FROM d) SELECT doc_id, CASE WHEN length(t) > 5 THEN len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) ELSE 1 END AS shingles FROM t"),
+    "char_shingle_sizes": (char_shingle_sizes, rf"WITH {_D}, t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS t FROM d) SELECT doc_id, CASE WHEN length(t) > 5 THEN len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) ELSE 1 END AS shingles FROM t"),
     "contamination_2x10gram": (contamination_2x10gram, f"WITH {_D}, b AS (SELECT DISTINCT unnest({_grams(10)}) AS g FROM (SELECT {_W} AS w FROM benchmark)), x AS (SELECT doc_id, unnest({_grams(10)}) AS g FROM (SELECT doc_id, {_W} AS w FROM d)) SELECT doc_id, count(*) AS hits FROM x JOIN b USING (g) GROUP BY doc_id HAVING count(*) >= 2"),
     "decon_12gram_rate": (decon_12gram_rate, f"""WITH {_D}, b AS (SELECT g, min(suite) AS suite FROM (SELECT suite, unnest({_grams(12)}) AS g FROM (SELECT 'suite' || item_id % 4 AS suite, {_W.replace('text', 'lower(text)')} AS w FROM benchmark)) GROUP BY g),
 x AS (SELECT doc_id, unnest({_grams(12)}) AS g FROM (SELECT doc_id, {_W.replace('text', 'lower(text)')} AS w FROM d)), h AS (SELECT DISTINCT doc_id, suite FROM x JOIN b USING (g))
