@@ -6,8 +6,14 @@ graph: a document goes when a surviving smaller one is adjacent to it.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.operators import text as X
 
@@ -58,6 +64,77 @@ def estimate(a: Column, b: Column, count: int) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
 
+# Modulus, and what the coefficients of permutation i are hashed from.
+MERSENNE, PERMUTATION_SEED = 2**61 - 1, "minhash-perm\x1f{}"
+
+
+@functools.cache
+def _mersenne_coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (a, b) of the affine permutations: an odd and any number below the modulus, from one digest each."""
+    digests = [hashlib.sha256(PERMUTATION_SEED.format(i).encode()).digest() for i in range(count)]
+    pairs = [((int.from_bytes(d[:8], "big") | 1) % MERSENNE, int.from_bytes(d[8:16], "big") % MERSENNE) for d in digests]
+    return tuple(np.array(column, np.uint64)[:, None] for column in zip(*pairs, strict=True))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    p = np.uint64(MERSENNE)
+    x = (x & p) + (x >> np.uint64(61))
+    return np.where(x >= p, x - p, x)
+
+
+def mersenne_minhash(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Least (a h + b) mod 2^61 - 1 of each permutation over hashes below the modulus, in 64-bit arithmetic.
+
+    Both factors are cut at 31 bits; powers of two above 2^61 fold back, as 2^61 is 1 here.
+    """
+    a, b = _mersenne_coefficients(count)
+    cut, low31, low30 = np.uint64(31), np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+    best = np.full(count, MERSENNE, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[None, at : at + 4096]
+        middle = (a >> cut) * (h & low31) + (a & low31) * (h >> cut)
+        product = ((a >> cut) * (h >> cut) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & low30) << cut) + (a & low31) * (h & low31)
+        best = np.minimum(best, _reduced(_reduced(product) + b).min(1))
+    return best
+
+
+def _signature(shingles, count: int) -> np.ndarray:
+    hashes = np.array([int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "big") % MERSENNE for x in shingles], np.uint64)
+    return mersenne_minhash(hashes, count).astype(np.int64)
+
+
+def word_minhash_udf(count: int, size: int = 5):
+    """A column function text -> signature over its distinct runs of `size` words; a shorter text is one run."""
+    import re
+
+    words = re.compile(r"[^ \t\n\x0B\f\r]+")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def signature(text: pd.Series) -> pd.Series:
+        def one(t):
+            w = words.findall(t or "")
+            return _signature({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}, count)
+
+        return text.map(one)
+
+    return signature
+
+
+def char_minhash_udf(count: int, size: int = 5):
+    """A column function text -> signature over its runs of `size` characters, in canonical form with white space collapsed; null without any."""
+    import unicodedata
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def signature(text: pd.Series) -> pd.Series:
+        def one(t):
+            t = " ".join(unicodedata.normalize("NFC", (t or "").replace("\r\n", "\n").replace("\r", "\n")).split())
+            return _signature({t[i : i + size] for i in range(max(1, len(t) - size + 1))}, count) if t else None
+
+        return text.map(one)
+
+    return signature
+
+
 def band_pairs(df: DataFrame, rows: int, count: int) -> DataFrame:
     """Distinct pairs a < b of doc_ids whose signatures share a band. df: doc_id, sig.
 

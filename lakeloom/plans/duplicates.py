@@ -11,8 +11,10 @@ from lakeloom.session import table
 #: Permutations, band rows and shingle size of the queries below.
 SLOTS, ROWS, SIZE = 16, 2, 5
 BANDS = SLOTS // ROWS
-#: Permutations that find the candidates of survivor selection, in bands of two: a pair at similarity 0.5 shares none with probability 1e-4.
-WIDE = 64
+#: (permutations, rows of a band, bands): over characters, over words at similarity 0.75, and for every pair of similarity 0.3 but 1 in 400.
+CHARS, WORDS, WIDE = (64, 4, 16), (128, 11, 11), (128, 2, 64)
+#: Thresholds at which pairs are judged and at which removals are counted, in hundredths.
+PROBES, SWEEP, OPERATING = (50, 60, 65, 70, 75, 80, 90), (90, 80, 75, 70, 60, 50, 40, 30), 75
 
 
 def _docs(spark, sf):
@@ -68,49 +70,101 @@ def minhash_bands(spark, sf):
 
 
 def minhash_estimate(spark, sf):
-    sig = _signatures(spark, sf)
+    D.need_checkpoint_folder(table(spark, sf, "documents"))
+    sig = _signatures(spark, sf).checkpoint()  # read by both sides of two joins
     pairs = D.band_pairs(sig, ROWS, BANDS)
     a, b = sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", D.estimate(F.col("sa"), F.col("sb"), SLOTS).alias("equal_slots"))
 
 
+def _compared(pairs, d):
+    """pairs (a, b) with shared and total: sizes of intersection and union of the whole shingle sets of d (doc_id, s)."""
+    D.need_checkpoint_folder(d)
+    pairs = pairs.checkpoint()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    s = d.join(asked, "doc_id", "left_semi").checkpoint()  # shingles of the documents in pairs alone
+    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    counted = both.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).withColumn("total", F.size("sa") + F.size("sb") - F.col("shared"))
+    return counted.drop("sa", "sb")
+
+
 def shingle_jaccard_pairs(spark, sf):
     """Exact similarity of the candidate pairs."""
     d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
-    pairs = D.band_pairs(d.select("doc_id", D.minhash(F.col("s"), SLOTS).alias("sig")), ROWS, BANDS)
-    a, b = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size(F.array_union("sa", "sb")).alias("total")).filter("shared * 10 >= total * 5")
+    D.need_checkpoint_folder(d)
+    pairs = D.band_pairs(d.select("doc_id", D.minhash(F.col("s"), SLOTS).alias("sig")).checkpoint(), ROWS, BANDS)
+    return _compared(pairs, d).select("a", "b", "shared", "total").filter("shared * 10 >= total * 5")
+
+
+def _estimated(sig, setting):
+    """(a, b, equal_slots): pairs that share a band of their signatures (doc_id, sig)."""
+    count, rows, bands = setting
+    D.need_checkpoint_folder(sig)
+    sig = sig.checkpoint()  # read by both sides of two joins
+    pairs = D.band_pairs(sig, rows, bands)
+    a, b = sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", D.estimate(F.col("sa"), F.col("sb"), count).alias("equal_slots"))
+
+
+def _word_signatures(spark, sf, setting):
+    return _firsts(spark, sf).select("doc_id", D.word_minhash_udf(setting[0], SIZE)("text").alias("sig"))
 
 
-def _verified(d):
-    """(a, b, shared, total) of the candidate pairs of d (doc_id, s), counted on their whole shingle sets."""
-    pairs = D.band_pairs(d.select("doc_id", D.minhash(F.col("s"), WIDE).alias("sig")), ROWS, WIDE // ROWS)
-    a, b = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size(F.array_union("sa", "sb")).alias("total"))
+def minhash64_signature(spark, sf):
+    """64 permutations modulo 2^61 - 1 over runs of five characters; a text without characters has none."""
+    return _firsts(spark, sf).select("doc_id", D.char_minhash_udf(CHARS[0])("text").alias("sig")).select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
-def _alike(pairs, least):
-    """The pairs whose similarity is at least `least` of SLOTS."""
-    return pairs.filter(F.col("shared") * SLOTS >= F.col("total") * least).select("a", "b")
+def minhash64_survivors(spark, sf):
+    """Survivors where sixteen bands of four find the pairs and four fifths of the slots must agree."""
+    d = _firsts(spark, sf).filter(F.col("text").rlike(r"\S"))
+    sig = d.select("doc_id", D.char_minhash_udf(CHARS[0])("text").alias("sig"))
+    return D.survivors(_firsts(spark, sf), _estimated(sig, CHARS).filter(F.col("equal_slots") * 5 >= 4 * CHARS[0]).select("a", "b"))
+
+
+def minhash128_pairs(spark, sf):
+    """Pairs that eleven bands of eleven find over 128 permutations, with their estimate and their true similarity."""
+    d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
+    return _compared(_estimated(_word_signatures(spark, sf, WORDS), WORDS), d)
+
+
+def threshold_verdicts(spark, sf):
+    """The eight pairs nearest to the operating threshold, with the thresholds at which their estimate is a duplicate."""
+    p = minhash128_pairs(spark, sf)
+    caught = F.array_join(F.array_compact(F.array(*[F.when(F.col("equal_slots") * 100 >= t * WORDS[0], F.lit(str(t))) for t in PROBES])), ",")
+    far = F.abs(F.col("shared") * 100 - F.col("total") * OPERATING) / F.col("total")
+    return p.withColumn("far", far).orderBy("far", "a", "b").limit(8).select("a", "b", "shared", "total", "equal_slots", caught.alias("caught"))
 
 
 def lfmis_survivors(spark, sf):
+    """Survivors at a true similarity of 13 in 16."""
     d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
-    return D.survivors(d, _alike(_verified(d), 13))
+    pairs = _compared(_estimated(_word_signatures(spark, sf, WIDE), WIDE).select("a", "b"), d)
+    return D.survivors(d, pairs.filter("shared * 16 >= total * 13").select("a", "b"))
 
 
 def threshold_sweep(spark, sf):
-    """Documents that greedy selection removes at several thresholds."""
+    """Documents that greedy selection removes at eight thresholds of true similarity."""
     d = _firsts(spark, sf).select("doc_id", _shingles().alias("s"))
-    pairs = _verified(d).persist()
+    pairs = _compared(_estimated(_word_signatures(spark, sf, WIDE), WIDE).select("a", "b"), d).filter(F.col("shared") * 100 >= F.col("total") * min(SWEEP)).checkpoint()
     out = None
-    for least in (8, 11, 13, 15):
-        one = D.survivors(d, _alike(pairs, least)).agg(F.count("removed_by").alias("removed")).select(F.lit(least).alias("slots"), "removed")
+    for least in SWEEP:
+        edges = pairs.filter(F.col("shared") * 100 >= F.col("total") * least).select("a", "b")
+        one = D.survivors(d, edges).agg(F.count("removed_by").alias("removed")).select(F.lit(least).alias("threshold"), "removed")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def retained_lookup(spark, sf):
+    """Documents of the first two sources looked up among all others by their bands: the smallest that agrees in 12 of 16 slots."""
+    D.need_checkpoint_folder(table(spark, sf, "documents"))
+    sig = _signatures(spark, sf).join(_docs(spark, sf).select("doc_id", F.coalesce(F.col("source").isin("src0", "src1"), F.lit(False)).alias("new")), "doc_id").checkpoint()
+    keyed = sig.select("doc_id", "new", "sig", F.explode(D.bands(F.col("sig"), ROWS, BANDS)).alias("k")).select("doc_id", "new", "sig", "k.*")
+    asked, kept = keyed.filter("new").drop("new"), keyed.filter("not new").select("band", "key", F.col("doc_id").alias("kept"), F.col("sig").alias("kept_sig"))
+    hit = asked.join(kept, ["band", "key"]).filter(D.estimate(F.col("sig"), F.col("kept_sig"), SLOTS) >= 12)
+    return hit.groupBy("doc_id").agg(F.min("kept").alias("duplicate_of"))
+
+
 def char_shingle_sizes(spark, sf):
     t = F.trim(F.regexp_replace(F.col("text"), r"[ \t\n\r]+", " "))
     return _docs(spark, sf).select("doc_id", F.size(X.char_shingles(t, 5)).alias("shingles"))
@@ -201,6 +255,11 @@ QUERIES = {
     "minhash_bands": (minhash_bands, f"WITH {_SIG} SELECT band::INT AS band, key, count(*) AS docs, min(doc_id) AS first_id FROM bd GROUP BY ALL HAVING count(*) > 1"),
     "minhash_estimate": (minhash_estimate, f"WITH {_SIG} SELECT * FROM es"),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, f"WITH {_SIG}, j AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) AS n FROM pr JOIN sg x ON x.doc_id = a JOIN sg y ON y.doc_id = b) SELECT a, b, shared, n - shared AS total FROM j WHERE shared * 10 >= (n - shared) * 5"),
+    "retained_lookup": (retained_lookup, f"WITH {_SIG}, nw AS (SELECT doc_id FROM d WHERE source IN ('src0', 'src1')), h AS (SELECT x.doc_id, y.doc_id AS kept, x.band FROM bd x JOIN bd y ON x.band = y.band AND x.key = y.key WHERE x.doc_id IN (SELECT * FROM nw) AND y.doc_id NOT IN (SELECT * FROM nw)) SELECT h.doc_id, min(kept) AS duplicate_of FROM h JOIN sg x ON x.doc_id = h.doc_id JOIN sg y ON y.doc_id = kept WHERE len(list_filter(range(1, {SLOTS + 1}), lambda i: x.sig[i] = y.sig[i])) >= 12 GROUP BY 1"),
+    "minhash64_signature": (minhash64_signature, None),
+    "minhash64_survivors": (minhash64_survivors, None),
+    "minhash128_pairs": (minhash128_pairs, None),
+    "threshold_verdicts": (threshold_verdicts, None),
     "lfmis_survivors": (lfmis_survivors, None),
     "threshold_sweep": (threshold_sweep, None),
     "char_shingle_sizes": (char_shingle_sizes, rf"WITH {_D}, t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS t FROM d) SELECT doc_id, CASE WHEN length(t) > 5 THEN len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) ELSE 1 END AS shingles FROM t"),
