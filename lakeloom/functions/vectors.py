@@ -41,10 +41,41 @@ def graphemes(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else cluster.findall(t))
 
 
-def split_suffix(word: str, suffixes: tuple[str, ...], least: int = 2) -> list[str]:
-    """[stem, suffix] for the longest suffix that leaves a stem of at least `least` characters, else [word]."""
+# Endings that are split off, of two Dravidian languages, and the first code points of Indic blocks.
+TELUGU_SUFFIXES = (
+    "గురించి", "ద్వారా", "కోసం", "వరకు", "నుండి", "వల్ల", "లోని", "యొక్క", "లను", "లకు", "లో", "కి", "కు", "తో", "గా", "పై", "చే", "అనే",
+    "ను", "ని", "లు", "ల", "వి", "డు", "మ", "పు",
+)
+KANNADA_SUFFIXES = ("ದಲ್ಲಿ", "ಯನ್ನು", "ವನ್ನು", "ಗಾಗಿ", "ಇಂದ", "ಗಳು", "ಗಳ", "ಗೆ", "ಯಲ್ಲಿ", "ವರೆಗೆ", "ದ", "ವು", "ನ", "ಯ", "ಕ್ಕೆ")
+BLOCKS = {"DEVANAGARI": 0x0900, "TELUGU": 0x0C00, "KANNADA": 0x0C80}
+
+
+def script_of(word: str) -> str | None:
+    """The script of the first character that is in a known block."""
+    for c in word:
+        for name, first in BLOCKS.items():
+            if first <= ord(c) < first + 0x80:
+                return name
+    return None
+
+
+def profiled(word: str, transliterate: bool, suffixes: bool) -> list[str]:
+    """A pre-token moved to the pivot script and cut before a known ending, as the profile says."""
+    script = script_of(word)
+    endings = {"TELUGU": TELUGU_SUFFIXES, "KANNADA": KANNADA_SUFFIXES}.get(script, ())
+    parts = split_suffix(word, endings, clusters=True) if suffixes else [word]
+    if transliterate and script not in (None, "DEVANAGARI"):
+        parts = [to_pivot_script(x, BLOCKS[script]) for x in parts]
+    return parts
+
+
+def split_suffix(word: str, suffixes: tuple[str, ...], least: int = 2, clusters: bool = False) -> list[str]:
+    """[stem, suffix] for the longest suffix that leaves a stem of at least `least` characters, or user-perceived ones, else [word]."""
+    import regex
+
+    size = (lambda x: len(regex.findall(r"\X", x))) if clusters else len
     for s in sorted(suffixes, key=len, reverse=True):
-        if word.endswith(s) and len(word) - len(s) >= least:
+        if word.endswith(s) and len(word) > len(s) and size(word[: -len(s)]) >= least:
             return [word[: -len(s)], s]
     return [word]
 

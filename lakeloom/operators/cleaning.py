@@ -55,9 +55,30 @@ ADMISSION_PII_RULES = (
 ALLOWED_LICENSES = ("cc-by-4.0", "apache-2.0", "mit", "cc0-1.0", "odc-by")
 COPYLEFT_LICENSES = ("agpl-3.0", "gpl-3.0", "gpl-2.0", "lgpl-3.0")
 
+_PROTECTED = re.compile(r"```.*?```|`[^`\n]{1,200}`|(?i:<\|[a-z_]{1,20}\|>)", re.DOTALL)
+HIGH_CONFIDENCE_NAMES = (
+    "రాజేష్", "సురేష్", "లక్ష్మి", "ప్రియ", "వెంకటేష్", "శ్రీను", "మహేష్", "నరేష్", "కిరణ్", "అనిత", "సునీత", "పద్మ", "శ్రీనివాస్", "వెంకట్",
+    "రజనీకాంత్", "చిరంజీవి", "పవన్", "నాగార్జున", "బాలకృష్ణ", "సునీల్",
+)
+AMBIGUOUS_NAMES = ("రాజు", "బాబు", "అమ్మ", "చిన్ని")
+NAME_MARK = "[NAME]"
+
 Rule = tuple[str, str, str]
 
 
+def name_pattern() -> str:
+    """One alternation of all listed names, the longest first, so that a name never loses to a shorter one that begins it."""
+    return "|".join(sorted((*HIGH_CONFIDENCE_NAMES, *AMBIGUOUS_NAMES), key=lambda n: (-len(n), n)))
+
+
+def names_found(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(name_pattern()), F.lit(0))
+
+
+def redact_names(text: Column) -> Column:
+    return F.regexp_replace(text, name_pattern(), NAME_MARK)
+
+
 def apply_rules(text: Column, rules: Sequence[Rule]) -> Column:
     """Each rule rewrites what the previous one left."""
     return functools.reduce(lambda t, r: F.regexp_replace(t, r[1], r[2]), rules, text)
@@ -164,9 +185,6 @@ def unescape_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-_PROTECTED = re.compile(r"```.*?```|`[^`\n]{1,200}`|(?i:<\|[a-z_]{1,20}\|>)", re.DOTALL)
-
-
 @F.pandas_udf(T.StringType())
 def strip_markup_outside_code(text: pd.Series) -> pd.Series:
     """Tags become spaces, except in code fences, inline code and chat markers."""

@@ -61,18 +61,55 @@ def _rows(lane: str, placed: list[tuple[int, int, int, int, int]]) -> pd.DataFra
     return pd.DataFrame([(lane, seq, doc, a, z, at, at + z - a) for seq, doc, a, z, at in placed], columns=_COLUMNS)
 
 
+class _Rooms:
+    """Room left in numbered sequences, of which the first with enough is found in logarithmic time."""
+
+    def __init__(self):
+        self._leaves, self._most, self.count = 1, [0, 0], 0
+
+    def _set(self, i: int, room: int) -> None:
+        at = self._leaves + i
+        self._most[at] = room
+        while at > 1:
+            at >>= 1
+            self._most[at] = max(self._most[2 * at], self._most[2 * at + 1])
+
+    def first_with(self, need: int) -> int | None:
+        if self._most[1] < need:
+            return None
+        at = 1
+        while at < self._leaves:
+            at = 2 * at if self._most[2 * at] >= need else 2 * at + 1
+        return at - self._leaves
+
+    def open(self, room: int) -> int:
+        if self.count == self._leaves:
+            rooms = self._most[self._leaves :]
+            self._leaves *= 2
+            self._most = [0] * self._leaves + rooms + [0] * len(rooms)
+            for at in range(self._leaves - 1, 0, -1):
+                self._most[at] = max(self._most[2 * at], self._most[2 * at + 1])
+        self._set(self.count, room)
+        self.count += 1
+        return self.count - 1
+
+    def room(self, i: int) -> int:
+        return self._most[self._leaves + i]
+
+    def take(self, i: int, need: int) -> None:
+        self._set(i, self.room(i) - need)
+
+
 def first_fit(docs: DataFrame, size: int) -> DataFrame:
     """Pieces in order of doc_id, each into the first open sequence with room. One task per lane."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        room: list[int] = []
-        placed = []
+        rooms, placed = _Rooms(), []
         for doc, a, z in _pieces(pdf.sort_values("doc_id"), size):
-            need = z - a
-            seq = next((i for i, r in enumerate(room) if r >= need), len(room))
-            if seq == len(room):
-                room.append(size)
-            placed.append((seq, doc, a, z, size - room[seq]))
-            room[seq] -= need
+            seq = rooms.first_with(z - a)
+            if seq is None:
+                seq = rooms.open(size)
+            placed.append((seq, doc, a, z, size - rooms.room(seq)))
+            rooms.take(seq, z - a)
         return _rows(pdf["lane"].iloc[0], placed)
 
     return docs.groupBy("lane").applyInPandas(pack, SEGMENT)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lakeloom.operators import text as X
 
-# Function words of English prose.
+# Function words of prose.
 ENGLISH_STOPWORDS = (
     "the", "a", "an", "and", "or", "but", "if", "then", "of", "to", "in", "on", "for", "with", "as", "by", "at", "from", "is", "are",
     "was", "were", "be", "been", "it", "this", "that", "these", "those", "you", "we", "they", "he", "she", "i", "not", "no", "can",
@@ -21,7 +21,13 @@ ENGLISH_STOPWORDS = (
 FRENCH_STOPWORDS = ("le", "la", "les", "de", "des", "du", "et", "en", "un", "une", "que", "est", "pas", "pour", "dans", "au", "ou", "qui")
 GERMAN_STOPWORDS = ("der", "die", "das", "und", "in", "den", "des", "zu", "ist", "nicht", "ein", "eine", "mit", "auf", "für", "von", "sich", "auch")
 SPANISH_STOPWORDS = ("el", "la", "los", "las", "de", "y", "en", "un", "una", "que", "es", "no", "por", "con", "para", "del", "se", "su")
+TELUGU_STOPWORDS = (
+    "మరియు", "ఈ", "ఆ", "ఒక", "కూడా", "కాదు", "ఉంది", "లో", "కి", "కు", "నుండి", "తో", "కోసం", "కానీ", "అయితే", "వారు", "అతను", "ఆమె", "నేను",
+    "మీరు", "మనం", "ఏమి", "ఎలా", "ఎప్పుడు", "ఎక్కడ", "ఎవరు", "అన్ని", "కొన్ని", "చాలా", "ఇది", "అది", "వద్ద", "పైన", "కింద", "మధ్య",
+    "తర్వాత", "ముందు", "కాబట్టి", "కేవలం", "కనుక", "కూడా.",
+)
 STOPWORDS = {"en": ENGLISH_STOPWORDS, "fr": FRENCH_STOPWORDS, "de": GERMAN_STOPWORDS, "es": SPANISH_STOPWORDS}
+STOPWORDS_BY_SCRIPT = {"telugu": TELUGU_STOPWORDS, "latin": ENGLISH_STOPWORDS}
 TERMINAL = (".", "!", "?", "।")
 STRIPPED = ".,!?।\"'()"
 # Bounds of the cascade.

@@ -6,6 +6,8 @@ the others stay in Spark and send the changes of their pair counts, so that all
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -29,6 +31,30 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return chars.select("token", "freq", at).groupBy(F.expr("substring(token, i, 2)").alias("pair")).agg(F.sum("freq").alias("freq"))
 
 
+@functools.cache
+def _cluster():
+    import regex
+
+    return regex.compile(r"\X")
+
+
+def units_of(token: str, units: str = "char") -> list[str]:
+    """What merging starts from: characters, or user-perceived ones ("grapheme")."""
+    return list(token) if units == "char" else _cluster().findall(token)
+
+
+class _Falling:
+    """A pair that sorts before smaller ones."""
+
+    __slots__ = ("pair",)
+
+    def __init__(self, pair):
+        self.pair = pair
+
+    def __lt__(self, other):
+        return other.pair < self.pair
+
+
 def _joined(symbols: list[str], best: tuple[str, str]) -> list[str]:
     joined, i = [], 0
     while i < len(symbols):
@@ -41,7 +67,7 @@ def _joined(symbols: list[str], best: tuple[str, str]) -> list[str]:
     return joined
 
 
-def _pair_changes(rest: DataFrame, table: list[tuple[str, str]]) -> list:
+def _pair_changes(rest: DataFrame, table: list[tuple[str, str]], units: str) -> list:
     """Rows (a, b, freq): what the last merge of the table changes in the pair counts of rest; without merges, the counts.
 
     Types are merged anew from their characters, so that no state is kept between merges; only those
@@ -55,7 +81,7 @@ def _pair_changes(rest: DataFrame, table: list[tuple[str, str]]) -> list:
         changes = Counter()
         for batch in batches:
             for token, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                symbols = list(token)
+                symbols = units_of(token, units)
                 for pair in table[:-1]:
                     if pair[0] + pair[1] in token:
                         symbols = _joined(symbols, pair)
@@ -78,8 +104,10 @@ def _pair_changes(rest: DataFrame, table: list[tuple[str, str]]) -> list:
     return (changes if table else changes.groupBy("a", "b").agg(F.sum("freq").alias("freq"))).collect()
 
 
-def train_merges(counts: DataFrame, merges: int, min_freq: int = 2, max_types: int = 200_000) -> list[tuple[str, str]]:
-    """The merge table: the most frequent pair first, ties to the smaller pair.
+def train_merges(
+    counts: DataFrame, merges: int, min_freq: int = 2, max_types: int = 200_000, units: str = "char", ties: str = "smallest",
+) -> list[tuple[str, str]]:
+    """The merge table: the most frequent pair first, ties to the smaller or the "largest" pair.
 
     At most max_types types are gathered; types beyond them are counted in Spark, in one job per merge.
     """
@@ -90,41 +118,55 @@ def train_merges(counts: DataFrame, merges: int, min_freq: int = 2, max_types: i
         top = counts.orderBy(F.desc("freq"), "token").limit(max_types).collect()
         last = top[-1]
         rest = counts.filter((F.col("freq") < last.freq) | ((F.col("freq") == last.freq) & (F.col("token") > last.token)))
-    words = [(list(r.token), r.freq) for r in top]
+    words = [(units_of(r.token, units), r.freq) for r in top]
     pairs, where = Counter(), defaultdict(set)
     for w, (symbols, freq) in enumerate(words):
         for pair in zip(symbols, symbols[1:], strict=False):
             pairs[pair] += freq
             where[pair].add(w)
-    for r in _pair_changes(rest, []) if rest is not None else ():
+    for r in _pair_changes(rest, [], units) if rest is not None else ():
         pairs[r.a, r.b] += r.freq
+    shown = (lambda p: p) if ties == "smallest" else _Falling
+    # Every count that a pair ever had is in the queue; an entry counts if it is the pair's present one.
+    queue = [(-n, shown(p), p) for p, n in pairs.items()]
+    heapq.heapify(queue)
     table: list[tuple[str, str]] = []
-    while len(table) < merges and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < min_freq:
+    while len(table) < merges and queue:
+        least, _, best = heapq.heappop(queue)
+        if pairs.get(best) != -least:
+            continue
+        if -least < min_freq:
             break
         table.append(best)
+        change = Counter()
         for w in where.pop(best, ()):
             symbols, freq = words[w]
-            for pair in zip(symbols, symbols[1:], strict=False):
-                pairs[pair] -= freq
-                if pairs[pair] <= 0:
-                    del pairs[pair]
             joined = _joined(symbols, best)
+            if len(joined) == len(symbols):
+                continue
             words[w] = (joined, freq)
+            for pair in zip(symbols, symbols[1:], strict=False):
+                change[pair] -= freq
             for pair in zip(joined, joined[1:], strict=False):
-                pairs[pair] += freq
+                change[pair] += freq
                 where[pair].add(w)
-        for r in _pair_changes(rest, table) if rest is not None else ():
-            pairs[r.a, r.b] += r.freq
-            if pairs[r.a, r.b] <= 0:
-                del pairs[r.a, r.b]
+        for r in _pair_changes(rest, table, units) if rest is not None else ():
+            change[r.a, r.b] += r.freq
+        for pair, n in change.items():
+            if not n:
+                continue
+            now = pairs[pair] + n
+            if now > 0:
+                pairs[pair] = now
+                heapq.heappush(queue, (-now, shown(pair), pair))
+            else:
+                del pairs[pair]
     return table
 
 
-def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+def encode_word(word: str, ranks: dict[tuple[str, str], int], units: str = "char") -> list[str]:
     """Pieces of a pre-token: the pair of lowest rank is joined everywhere, again and again."""
-    symbols = list(word)
+    symbols = units_of(word, units)
     while len(symbols) > 1:
         best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
         if best not in ranks:
@@ -141,17 +183,27 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
-def piece_udf(table: list[tuple[str, str]]):
+def piece_udf(table: list[tuple[str, str]], units: str = "char"):
     """A column function pre-token -> pieces; meant for distinct pre-tokens that are joined back."""
     ranks = {p: i for i, p in enumerate(table)}
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(word: pd.Series) -> pd.Series:
-        return word.map(lambda w: encode_word(w, ranks))
+        return word.map(lambda w: encode_word(w, ranks, units))
 
     return pieces
 
 
+def reversible_counts(df: DataFrame, text: str = "text", weight: str | None = None) -> DataFrame:
+    """(token, freq) of reversible pre-tokens, each row counted `weight` times."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: reversible_pretokens(t or ""))
+
+    n = F.lit(1) if weight is None else F.col(weight)
+    return df.select(n.alias("n"), F.explode(cut(text)).alias("token")).groupBy("token").agg(F.sum("n").alias("freq"))
+
+
 def fertility(df: DataFrame, table: list[tuple[str, str]], group: str = "lang") -> DataFrame:
     """(group, words, pieces): pieces are made once per distinct pre-token."""
     words = df.select(group, F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy(group, "token").agg(F.count(F.lit(1)).alias("freq"))
@@ -239,11 +291,15 @@ class FrozenTokenizer:
         return [*ids, self.EOS], [*roles, "control"]
 
 
-def freeze(counts: DataFrame, merges: int) -> FrozenTokenizer:
-    """Train on (token, freq) and take the alphabet of the tokens that were seen."""
-    table = train_merges(counts, merges)
+def freeze(counts: DataFrame, merges: int | None = None, vocabulary: int | None = None) -> FrozenTokenizer:
+    """Train on (token, freq) and take the alphabet of the tokens that were seen.
+
+    With `vocabulary`, as many merges are learned as its ids leave room for beside bytes and letters.
+    """
     letters = [r.c for r in counts.select(F.explode(F.split("token", "")).alias("c")).filter("c <> ''").distinct().collect()]
-    return FrozenTokenizer(table, letters)
+    if vocabulary is not None:
+        merges = max(0, vocabulary - 256 - len(letters))
+    return FrozenTokenizer(train_merges(counts, merges), letters)
 
 
 def plan_vocabularies(options: list[tuple[str, int, float]], cap: int) -> dict[str, tuple[int, float]]:

@@ -183,7 +183,7 @@ def capacity_curve(spark, sf):
 def bpe_weight_grid(spark, sf):
     """Fertility per language when one language's counts are weighted in training."""
     d = table(spark, sf, "documents")
-    counts = d.select("lang", F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("freq")).persist()
+    counts = d.select("lang", F.explode(X.pretokens(F.lower("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("freq"))
     out = None
     for weight in (1, 4):
         freq = F.col("freq") * F.when(F.col("lang") == "es", weight).otherwise(1)

@@ -97,7 +97,7 @@ def vocabulary_topk(spark, sf):
 
 
 def bpe_train_encode(spark, sf):
-    counts = K.pretoken_counts(table(spark, sf, "documents")).persist()
+    counts = K.pretoken_counts(table(spark, sf, "documents"))
     pieces = K.piece_udf(K.train_merges(counts, 300))
     return counts.select("token", "freq", pieces("token").alias("pieces"))
 
@@ -221,7 +221,7 @@ _CHOP = f"o AS (SELECT lane, doc_id, n, sum(n) OVER (PARTITION BY lane ORDER BY
 PAD_SQL = f"SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY doc_id, k) - 1 AS seq, doc_id, s AS doc_start, e AS doc_end, 0::BIGINT AS seq_start, e - s AS seq_end FROM p"
 CHOP_SQL = f"SELECT lane, seq, doc_id, greatest(lo, seq * {SIZE}) - lo AS doc_start, least(hi, (seq + 1) * {SIZE}) - lo AS doc_end, greatest(lo, seq * {SIZE}) - seq * {SIZE} AS seq_start, least(hi, (seq + 1) * {SIZE}) - seq * {SIZE} AS seq_end FROM c"
 LONG_SQL = f"SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY doc_id, k) - 1 AS seq, doc_id, k * {SIZE} AS doc_start, (k + 1) * {SIZE} AS doc_end, 0::BIGINT AS seq_start, {SIZE}::BIGINT AS seq_end FROM (SELECT *, unnest(range(0, n // {SIZE})) AS k FROM l WHERE n >= {SIZE})"
-_PRE = r"t AS (SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+|\p{Nd}+|\S')) AS token FROM documents) GROUP BY token)"
+_PRE = r"t AS MATERIALIZED (SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+|\p{Nd}+|\S')) AS token FROM documents) GROUP BY token)"
 _PAIRS = "pr AS (SELECT substr(token, i, 2) AS pair, sum(freq)::BIGINT AS freq FROM (SELECT token, freq, unnest(range(1, length(token))) AS i FROM t WHERE length(token) > 1) GROUP BY 1)"
 _TURN = "'<|' || role || '|>' || coalesce(text, '') || chr(10)"
 
@@ -244,13 +244,15 @@ QUERIES = {
     "seeded_uniform": (seeded_uniform, "SELECT doc_id, floor((('0x' || substr(sha256('s|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) * 1000000)::BIGINT AS u FROM documents"),
     "pretoken_freq_topk": (pretoken_freq_topk, f"WITH {_PRE} SELECT * FROM t ORDER BY freq DESC, token LIMIT 50"),
     "pair_freq_topk": (pair_freq_topk, f"WITH {_PRE}, {_PAIRS} SELECT * FROM pr ORDER BY freq DESC, pair LIMIT 50"),
-    "one_bpe_merge": (one_bpe_merge, f"WITH {_PRE}, {_PAIRS}, b AS (SELECT pair FROM pr ORDER BY freq DESC, pair LIMIT 1) SELECT token, freq, length(token) - (length(token) - length(replace(token, pair, ''))) // 2 AS pieces FROM t JOIN b ON contains(token, pair)"),
+    "one_bpe_merge": (one_bpe_merge, f"WITH {_PRE}, {_PAIRS}, b AS MATERIALIZED (SELECT pair FROM pr ORDER BY freq DESC, pair LIMIT 1) SELECT token, freq, length(token) - (length(token) - length(replace(token, (SELECT pair FROM b), ''))) // 2 AS pieces FROM t WHERE contains(token, (SELECT pair FROM b))"),
     "vocabulary_topk": (vocabulary_topk, r"WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS w FROM documents) GROUP BY w) SELECT w, n, row_number() OVER (ORDER BY n DESC, w) AS id FROM c ORDER BY n DESC, w LIMIT 100"),
     "bpe_train_encode": (bpe_train_encode, None),
     "fertility_by_lang": (fertility_by_lang, None),
     "fertility_sweep": (fertility_sweep, None),
     "shard_floor": (shard_floor, f"WITH {_L} SELECT lane, doc_id, ((sum(n) OVER (PARTITION BY lane ORDER BY doc_id))::BIGINT - n) // 5000 AS shard FROM l"),
-    "shard_reset": (shard_reset, None),
+    "shard_reset": (shard_reset, f"""WITH RECURSIVE {_L}, o AS (SELECT lane, doc_id, n, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS i FROM l),
+r AS (SELECT lane, doc_id, i, 0::BIGINT AS shard, n AS held FROM o WHERE i = 1 UNION ALL SELECT o.lane, o.doc_id, o.i, CASE WHEN held >= 5000 THEN shard + 1 ELSE shard END, CASE WHEN held >= 5000 THEN o.n ELSE held + o.n END FROM r JOIN o ON o.lane IS NOT DISTINCT FROM r.lane AND o.i = r.i + 1)
+SELECT lane, doc_id, shard FROM r"""),
     "pack_pad_only": (pack_pad_only, f"WITH {_L}, {_PAD} {PAD_SQL}"),
     "pack_concat_chop": (pack_concat_chop, f"WITH {_L}, {_CHOP} {CHOP_SQL}"),
     "pack_long_context": (pack_long_context, f"WITH {_L} {LONG_SQL}"),
@@ -259,7 +261,7 @@ QUERIES = {
     "pack_utilization": (pack_utilization, f"WITH {_L}, {_PAD}, {_CHOP} {_util('pad_only', PAD_SQL)} UNION ALL {_util('concat_chop', CHOP_SQL)} UNION ALL {_util('long_context', LONG_SQL)}"),
     "pack_ranking": (pack_ranking, None),
     "rank_partition": (rank_partition, f"WITH {_L}, r AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1 AS i FROM l) SELECT lane, doc_id, i % 4 AS rank, i // 4 // 8 AS microbatch, (i // 4) % 8 AS slot FROM r"),
-    "rank_disjoint": (rank_disjoint, "SELECT 1::BIGINT AS ranks, count(*) AS docs FROM documents"),
+    "rank_disjoint": (rank_disjoint, f"WITH {_L}, r AS (SELECT doc_id, (row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1) % 4 AS rank FROM l), d AS (SELECT doc_id, count(DISTINCT rank) AS ranks FROM r GROUP BY doc_id) SELECT ranks, count(*) AS docs FROM d GROUP BY ranks"),
     "cyclic_pool": (cyclic_pool, f"WITH {_L}, p AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lane) AS size FROM l) SELECT lane, k, doc_id, k // size AS epoch FROM p JOIN range(100) r(k) ON k % size = pos"),
     "token_windows": (token_windows, r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents) SELECT doc_id, k, sha256(array_to_string(w[k * 9 + 1 : k * 9 + 9], ' ')) AS hash FROM w, unnest(range(0, len(w) // 9)) u(k)"),
     "chat_flatten": (chat_flatten, f"SELECT conv_id, sha256(string_agg({_TURN}, '' ORDER BY turn)) AS hash, sum(length({_TURN}))::BIGINT AS n_chars FROM conversations GROUP BY conv_id"),
