@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold a QUERIES dict of name -> (callable, SQL or None).
-MODULES: tuple[str, ...] = ("corpus_cleaning", "duplicates", "training_data", "ledgers", "star", "planning", "models", "extras", "layout", "curriculum", "scripts")
+MODULES: tuple[str, ...] = ("corpus_cleaning", "duplicates", "training_data", "ledgers", "star", "planning", "models", "extras", "layout", "curriculum", "scripts", "evidence")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
