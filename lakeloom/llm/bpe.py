@@ -57,7 +57,6 @@ class BpeTokenizer:
     def __init__(self, path: str):
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -65,7 +64,7 @@ class BpeTokenizer:
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self._library = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")")
         self._word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -188,7 +187,11 @@ class BpeTokenizer:
         return out
 
     def _foreign_words(self, text: str) -> list[str]:
-        """The pre-tokens of any text, by the library's normalizer and pre-tokenizer."""
+        """The pre-tokens of any text, by the library's normalizer and pre-tokenizer, which are loaded when first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
         text = self._library.normalizer.normalize_str(text)
         sub = self._library.pre_tokenizer.pre_tokenize_str
         # byte-level symbols back to text

@@ -24,10 +24,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT,
     """
     if not tolerate_torn_tail:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).filter(F.trim("value") != "")
+    # A file's lines lie in blocks that tasks read in order; the last line is the last of the file's last block.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).filter(F.trim("value") != "")
     parsed = lines.withColumn("row", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    bad = parsed.filter("row._bad is not null").groupBy("file").agg(F.min("at").alias("bad_at"))
-    last = lines.groupBy("file").agg(F.max("at").alias("last_at"))
+    bad = parsed.filter("row._bad is not null").groupBy("file").agg(F.min("place").alias("bad_at"))
+    last = lines.groupBy("file").agg(F.max("place").alias("last_at"))
     if not bad.join(last, "file").filter("bad_at < last_at").isEmpty():
         raise TornFileError(path)
     return parsed.filter("row._bad is null").select(*[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
@@ -39,6 +41,30 @@ def has_torn_tail(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("file"), (~F.col("value").endswith("\n") & (F.col("value") != "")).alias("torn"))
 
 
+def scan_artifacts(spark: SparkSession, folders: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(file, n_lines, n_bytes) of the files of a pattern in folders, of which any may be missing or empty."""
+    schema = "file string, n_lines long, n_bytes long"
+    out = spark.createDataFrame([], schema)
+    hadoop = spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+        found = at.getFileSystem(hadoop).globStatus(at)
+        if found is None or not len(found):
+            continue
+        lines = spark.read.text(f"{folder}/{pattern}").select(F.col("_metadata.file_path").alias("file"), F.octet_length("value").alias("b"))
+        sizes = spark.createDataFrame([(f.getPath().toString(), f.getLen()) for f in found], "path string, n_bytes long")  # names of a folder's files
+        name = F.element_at(F.split("path", "/"), -1)
+        counts = lines.groupBy(F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n_lines"))
+        out = out.unionByName(sizes.select(name.alias("file"), "n_bytes").join(counts, "file", "left").select("file", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_bytes"))
+    return out
+
+
+def seed_results(spark: SparkSession, folder: str, stem: str, schema: str) -> DataFrame:
+    """Rows of the JSON results <stem>_seed<number>.json of a folder, each with its seed."""
+    rows = spark.read.schema(schema).json(f"{folder}/{stem}_seed*.json", multiLine=True)
+    return rows.withColumn("seed", F.regexp_extract(F.col("_metadata.file_path"), r"_seed(\d+)\.json$", 1).cast("long"))
+
+
 def stream_jsonl(spark: SparkSession, folder: str, schema: T.StructType = DOCUMENT) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 

@@ -89,3 +89,72 @@ def append_once(df: DataFrame, batch_id: int, path: str) -> None:
 def truncate_ledger(spark: SparkSession, path: str, target: str, below: int) -> None:
     """A copy of a ledger with the offsets below a bound: the state to resume from."""
     spark.read.parquet(path).filter(F.col("offset") < below).write.parquet(target)
+
+
+def write_schedule(steps: DataFrame, path: str) -> None:
+    """A compiled schedule beside an index of where each phase starts, stops and how many tokens it asks for."""
+    steps.write.mode("overwrite").parquet(f"{path}/schedule")
+    index = steps.groupBy("phase").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.sum("tokens").alias("tokens"))
+    index.coalesce(1).write.mode("overwrite").json(f"{path}/index")
+
+
+def write_traces(rows: DataFrame, windows: list[tuple[int, int]], most: int, path: str) -> DataFrame:
+    """Rows whose step lies in a window, at most `most` a window by offset, as a trace; gives aggregates over all rows.
+
+    What a trace leaves out is left out of it alone: the aggregates are always complete.
+    """
+    from pyspark.sql import Window
+
+    ranges = rows.sparkSession.createDataFrame([(i, a, z) for i, (a, z) in enumerate(windows)], "k int, low long, high long")
+    hit = rows.join(F.broadcast(ranges), (F.col("low") <= F.col("step")) & (F.col("step") < F.col("high")))  # a row a window
+    rn = F.row_number().over(Window.partitionBy("k").orderBy("offset"))
+    hit.withColumn("rn", rn).filter(F.col("rn") <= most).drop("low", "high", "rn").write.mode("overwrite").partitionBy("k").parquet(path)
+    return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
+
+
+def export_vocabulary(spark: SparkSession, tokens: list[tuple[int, str, str]], path: str) -> None:
+    """(id, kind, token) rows as JSON lines and, one token a line in order of id, as text."""
+    df = spark.createDataFrame(tokens, "id long, kind string, token string").coalesce(1).sortWithinPartitions("id")
+    df.write.mode("overwrite").json(f"{path}/json")
+    df.select(F.regexp_replace("token", "\n", "\\\\n").alias("value")).write.mode("overwrite").text(f"{path}/text")
+
+
+def save_checkpoint(state: DataFrame, step: int, path: str, keep: int = 3, pinned: tuple[int, ...] = ()) -> list[int]:
+    """Save a state under its step with the hash of its rows; of the others the newest `keep` and pinned ones stay. Gives the steps that are there.
+
+    A step is listed only once its marker file is written, so that a half-written one is never loaded.
+    """
+    spark = state.sparkSession
+    state.write.mode("overwrite").parquet(f"{path}/step={step}/state")
+    spark.createDataFrame([(step, state_hash(spark.read.parquet(f"{path}/step={step}/state")))], "step long, hash string").coalesce(1).write.mode("overwrite").json(f"{path}/step={step}/marker")
+    steps = list_checkpoints(spark, path)
+    stay = {*steps[-keep:], *pinned}
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    for old in steps:
+        if old not in stay:
+            at = folder(f"{path}/step={old}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return [s for s in steps if s in stay]
+
+
+def state_hash(state: DataFrame) -> str:
+    """A hash over all rows in any order: the sum of their hashes, and their number."""
+    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(state.columns)])
+    total = state.agg(F.sum(row.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return f"{total.s}:{total.n}"
+
+
+def list_checkpoints(spark: SparkSession, path: str) -> list[int]:
+    """Steps whose marker is complete, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/step=*/marker/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(int(f.getPath().getParent().getParent().getName().split("=")[1]) for f in found)
+
+
+def load_checkpoint(spark: SparkSession, path: str, step: int | None = None) -> DataFrame:
+    """The state of a step, or of the latest; a state that does not match its hash is refused."""
+    step = list_checkpoints(spark, path)[-1] if step is None else step
+    state = spark.read.parquet(f"{path}/step={step}/state")
+    if spark.read.schema("step long, hash string").json(f"{path}/step={step}/marker").first().hash != state_hash(state):
+        raise ShardConflictError(f"checkpoint {step} does not match its hash")
+    return state

@@ -343,3 +343,56 @@ def test_quality_model(spark, documents):
     report = run(spark, "quality_model_evaluation")[0]
     split = {r.doc_id: r for r in run(spark, "quality_split")}
     assert report.tp + report.fp + report.fn + report.tn == sum(r.part == "test" for r in split.values())
+
+
+def test_reversible_pretokens_and_parts(spark, documents):
+    from lakeloom.functions import vectors as V
+
+    got = {r.doc_id: (r.n, r.exact) for r in run(spark, "reversible_pretokens")}
+    assert got == {i: (len(K.reversible_pretokens(t)), True) for i, t, *_ in documents}
+    words = Counter(w for i, *_ in documents for w in regex.findall(r"[\p{L}\p{M}]+|\p{Nd}+|\S", scripts.PLANTED[i % 5]))
+    assert {r.w: (r.n, r.parts) for r in run(spark, "suffix_script_words")} == {w: (n, "+".join(V.profiled(w, True, True))) for w, n in words.items()}
+
+
+def test_role_tokens_and_page_texts(spark):
+    turns = duckdb.sql(f"select conv_id, turn, role, coalesce(text, '') from '{DIR}/conversations.parquet' order by 1, 2").fetchall()
+    counts = Counter(w for *_, t in turns for w in K.reversible_pretokens(t))
+    table, _ = plain_merges(counts, 150)
+    t = K.FrozenTokenizer(table, sorted(set("".join(counts))))
+    want = {}
+    for conv in {c for c, *_ in turns}:
+        ids, roles = t.encode_turns([(r, x) for c, _, r, x in turns if c == conv])
+        want |= {(conv, role): (len(ids), n) for role, n in Counter(roles).items()}
+    assert {(r.conv_id, r.role): (r.n, r.ids) for r in run(spark, "role_tokens")} == want
+    rows = run(spark, "page_texts")
+    assert rows and all(r.captions >= len("C a & b F") - 4 and r.visible >= 0 for r in rows)
+
+
+def test_artifacts_seeds_and_sinks(spark, tmp_path):
+    import json
+
+    from lakeloom.sources import files, sinks
+
+    for name, lines in (("a", 3), ("b", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("{}\n" * lines)
+    got = files.scan_artifacts(spark, [str(tmp_path), str(tmp_path / "absent")]).collect()
+    assert sorted(tuple(r) for r in got) == [("a.jsonl", 3, 9), ("b.jsonl", 0, 0)]
+    for seed in (3, 11):
+        (tmp_path / f"run_seed{seed}.json").write_text(json.dumps({"loss": seed / 2}, indent=1))
+    assert sorted(tuple(r) for r in files.seed_results(spark, str(tmp_path), "run", "loss double").collect()) == [(1.5, 3), (5.5, 11)]
+    steps = spark.createDataFrame([(s, "AB"[s > 4], 10) for s in range(10)], "step long, phase string, tokens long")
+    sinks.write_schedule(steps, f"{tmp_path}/plan")
+    assert {r.phase: (r.first, r.last, r.tokens) for r in spark.read.json(f"{tmp_path}/plan/index").collect()} == {"A": (0, 4, 50), "B": (5, 9, 50)}
+    rows = spark.createDataFrame([(i, i // 2, "l", 1) for i in range(40)], "offset long, step long, lane string, loss long")
+    whole = sinks.write_traces(rows, [(0, 5), (3, 19)], 6, f"{tmp_path}/trace").first()
+    assert (whole.n, whole.loss) == (40, 40)
+    assert Counter(r.k for r in spark.read.parquet(f"{tmp_path}/trace").collect()) == {0: 6, 1: 6}
+    sinks.export_vocabulary(spark, [(1, "letter", "a"), (0, "byte", "x\ny")], f"{tmp_path}/vocabulary")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/vocabulary/text").collect()] == ["x\\ny", "a"]
+    for step in (10, 20, 30, 40):
+        stay = sinks.save_checkpoint(rows.filter(f"step < {step}"), step, f"{tmp_path}/run", keep=2, pinned=(10,))
+    assert stay == [10, 30, 40] == sinks.list_checkpoints(spark, f"{tmp_path}/run")
+    assert sinks.load_checkpoint(spark, f"{tmp_path}/run").count() == 40 and sinks.load_checkpoint(spark, f"{tmp_path}/run", 10).count() == 20
+    rows.filter("step < 3").write.mode("append").parquet(f"{tmp_path}/run/step=30/state")
+    with pytest.raises(sinks.ShardConflictError):
+        sinks.load_checkpoint(spark, f"{tmp_path}/run", 30)
