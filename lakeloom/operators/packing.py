@@ -1,4 +1,4 @@
-"""Sequence packing: closed forms over prefix sums, and bin kernels per lane.
+"""Sequence packing: closed forms over prefix sums by ranges of doc_id, and bin kernels per lane.
 
 Input rows are documents (lane, doc_id, n) with n tokens. Segments are rows
 (lane, seq, doc_id, doc_start, doc_end, seq_start, seq_end); ranges are half open.
@@ -9,29 +9,33 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators import series as S
+
 SEGMENT = "lane string, seq long, doc_id long, doc_start long, doc_end long, seq_start long, seq_end long"
 _COLUMNS = [c.split(" ")[0] for c in SEGMENT.split(", ")]
 
 
+def _numbered(docs: DataFrame, pieces) -> DataFrame:
+    """One row per piece k of each document, with its number `seq` in the lane, by doc_id."""
+    counted = S.running_total(docs.withColumn("pieces", pieces.cast("long")), "doc_id", "pieces", "upto", by=("lane",))
+    each = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    return each.withColumn("seq", F.col("upto") - F.col("pieces") + F.col("k"))
+
+
 def pad_only(docs: DataFrame, size: int) -> DataFrame:
     """Every document alone, in pieces of at most `size`."""
-    pieces = docs.filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))))
-    first = Window.partitionBy("lane").orderBy("doc_id", "k")
+    pieces = _numbered(docs.filter("n > 0"), F.floor((F.col("n") - 1) / size) + 1)
     start = F.col("k") * size
     end = F.least("n", start + size)
-    return pieces.select(
-        "lane", (F.row_number().over(first) - 1).cast("long").alias("seq"), "doc_id", start.alias("doc_start"), end.alias("doc_end"),
-        F.lit(0).cast("long").alias("seq_start"), (end - start).alias("seq_end"),
-    )
+    return pieces.select("lane", "seq", "doc_id", start.alias("doc_start"), end.alias("doc_end"), F.lit(0).cast("long").alias("seq_start"), (end - start).alias("seq_end"))
 
 
 def concat_chop(docs: DataFrame, size: int) -> DataFrame:
     """A lane's documents as one stream by doc_id, cut at every multiple of `size`."""
-    order = Window.partitionBy("lane").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = docs.filter("n > 0").withColumn("hi", F.sum("n").over(order)).withColumn("lo", F.col("hi") - F.col("n"))
+    placed = S.running_total(docs.filter("n > 0"), "doc_id", "n", "hi", by=("lane",)).withColumn("lo", F.col("hi") - F.col("n"))
     cut = placed.withColumn("seq", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
     start, end = F.greatest("lo", F.col("seq") * size), F.least("hi", (F.col("seq") + 1) * size)
     return cut.select(
@@ -42,11 +46,10 @@ def concat_chop(docs: DataFrame, size: int) -> DataFrame:
 
 def long_context(docs: DataFrame, size: int) -> DataFrame:
     """Full windows of documents that have at least one; rests are left out."""
-    pieces = docs.filter(F.col("n") >= size).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / size) - 1)))
-    first = Window.partitionBy("lane").orderBy("doc_id", "k")
+    pieces = _numbered(docs.filter(F.col("n") >= size), F.floor(F.col("n") / size))
     return pieces.select(
-        "lane", (F.row_number().over(first) - 1).cast("long").alias("seq"), "doc_id", (F.col("k") * size).alias("doc_start"),
-        ((F.col("k") + 1) * size).alias("doc_end"), F.lit(0).cast("long").alias("seq_start"), F.lit(size).cast("long").alias("seq_end"),
+        "lane", "seq", "doc_id", (F.col("k") * size).alias("doc_start"), ((F.col("k") + 1) * size).alias("doc_end"),
+        F.lit(0).cast("long").alias("seq_start"), F.lit(size).cast("long").alias("seq_end"),
     )
 
 

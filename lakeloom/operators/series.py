@@ -17,13 +17,19 @@ def _bucketed(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_bucket", F.floor(F.col(order) / RANGE))
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """df with `out`: the sum of value over all rows up to and with this one, by a unique order."""
-    d = _bucketed(df, order)
-    totals = d.groupBy("_bucket").agg(F.sum(value).alias("_t"))
-    before = totals.select("_bucket", (F.sum("_t").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_before"))
-    local = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_local", local).join(before, "_bucket").withColumn(out, F.col("_local") + F.col("_before")).drop("_bucket", "_local", "_before")
+def _group(by: tuple[str, ...]) -> Column:
+    """One string per group, null values told apart."""
+    return F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by])
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with `out`: the sum of value over all rows of its group up to and with this one, by a unique order."""
+    d = _bucketed(df, order).withColumn("_group", _group(by))
+    totals = d.groupBy("_group", "_bucket").agg(F.sum(value).alias("_t"))
+    span = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    before = totals.select("_group", "_bucket", (F.sum("_t").over(span) - F.col("_t")).alias("_before"))
+    local = F.sum(value).over(Window.partitionBy("_group", "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_local", local).join(before, ["_group", "_bucket"]).withColumn(out, F.col("_local") + F.col("_before")).drop("_group", "_bucket", "_local", "_before")
 
 
 def with_previous(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -38,8 +38,9 @@ def casefold_without_joiners(text: pd.Series) -> pd.Series:
 
 
 def canonical(text: Column) -> Column:
-    """Line ends as U+000A and Unicode composed."""
-    return nfc(unix_lines(text))
+    """Line ends as U+000A and Unicode composed; texts without a character above U+007F are not sent to Python."""
+    lines = unix_lines(text)
+    return F.coalesce(nfc(F.when(lines.rlike(r"[^\x00-\x7F]"), lines)), lines)
 
 
 def content_hash(text: Column) -> Column:

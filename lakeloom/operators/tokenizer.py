@@ -249,6 +249,7 @@ class FrozenTokenizer:
         pieces = [*self.alphabet, *dict.fromkeys(a + b for a, b in self.table)]
         self.ids = {p: self.FIRST_BYTE + 256 + i for i, p in enumerate(pieces)}
         self.pieces = {i: p for p, i in self.ids.items()}
+        self._known: dict[str, list[int]] = {}
 
     def dump(self) -> str:
         import hashlib
@@ -272,9 +273,16 @@ class FrozenTokenizer:
         """Ids of a text; characters outside the alphabet become bytes."""
         out: list[int] = []
         for token in reversible_pretokens(text):
-            for piece in encode_word(token, self.ranks):
-                known = self.ids.get(piece)
-                out += [known] if known is not None else [self.FIRST_BYTE + b for b in piece.encode("utf-8")]
+            found = self._known.get(token)
+            if found is None:
+                found = []
+                for piece in encode_word(token, self.ranks):
+                    known = self.ids.get(piece)
+                    found += [known] if known is not None else [self.FIRST_BYTE + b for b in piece.encode("utf-8")]
+                if len(self._known) >= 200_000:
+                    self._known.clear()
+                self._known[token] = found
+            out += found
         return out
 
     def decode(self, ids: list[int]) -> str:

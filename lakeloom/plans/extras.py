@@ -132,14 +132,21 @@ def tokenizer_roundtrip(spark, sf):
     d = table(spark, sf, "documents")
     dumped = K.freeze(K.pretoken_counts(d), 200).dump()
 
+    cached: dict[str, K.FrozenTokenizer] = {}
+
+    def load():  # once a worker and query
+        if not cached:
+            cached[""] = K.FrozenTokenizer.load(dumped)
+        return cached[""]
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(text):
-        t = K.FrozenTokenizer.load(dumped)
+        t = load()
         return text.map(lambda x: t.encode(x or ""))
 
     @F.pandas_udf(T.StringType())
     def decode(ids):
-        t = K.FrozenTokenizer.load(dumped)
+        t = load()
         return ids.map(lambda x: t.decode(list(x)))
 
     one = d.select("lang", F.coalesce("text", F.lit("")).alias("t")).withColumn("ids", encode("t")).withColumn("exact", decode("ids") == F.col("t"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import packing as P
+from lakeloom.operators import series as S
 from lakeloom.operators import text as X
 from lakeloom.operators import tokenizer as K
 from lakeloom.session import table
@@ -22,18 +23,14 @@ def _lanes(spark, sf):
     return _docs(spark, sf).select("lane", "doc_id", "n")
 
 
-def _running(*keys):
-    return Window.partitionBy(*keys).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def token_budget_slice(spark, sf):
     """Documents from row 50 on, up to and with the one that reaches 20,000 tokens of its language."""
-    d = _docs(spark, sf).filter("doc_id >= 50 and n > 0").withColumn("cum", F.sum("n").over(_running("lane")))
+    d = S.running_total(_docs(spark, sf).filter("doc_id >= 50 and n > 0"), "doc_id", "n", "cum", by=("lane",))
     return d.filter(F.col("cum") - F.col("n") < 20000).select("lane", "doc_id", "n", "cum")
 
 
 def per_source_budget(spark, sf):
-    d = _docs(spark, sf).filter("n > 0").withColumn("cum", F.sum("n").over(_running("source")))
+    d = S.running_total(_docs(spark, sf).filter("n > 0"), "doc_id", "n", "cum", by=("source",))
     return d.filter(F.col("cum") - F.col("n") < 3000).groupBy("source").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"),
     )
@@ -118,7 +115,7 @@ def fertility_sweep(spark, sf):
 
 
 def shard_floor(spark, sf):
-    d = _lanes(spark, sf).withColumn("cum", F.sum("n").over(_running("lane")))
+    d = S.running_total(_lanes(spark, sf), "doc_id", "n", "cum", by=("lane",))
     return d.select("lane", "doc_id", F.floor((F.col("cum") - F.col("n")) / 5000).alias("shard"))
 
 
@@ -166,8 +163,9 @@ def pack_ranking(spark, sf):
 
 def rank_partition(spark, sf):
     """Rows dealt to 4 ranks in turn, in microbatches of 8."""
-    rn = F.row_number().over(Window.partitionBy("lane").orderBy("doc_id")) - 1
-    return _lanes(spark, sf).select("lane", "doc_id", (rn % 4).cast("long").alias("rank"), F.floor(rn / 4 / 8).alias("microbatch"), (F.floor(rn / 4) % 8).alias("slot"))
+    d = S.running_total(_lanes(spark, sf).withColumn("one", F.lit(1).cast("long")), "doc_id", "one", "upto", by=("lane",))
+    rn = F.col("upto") - 1
+    return d.select("lane", "doc_id", (rn % 4).cast("long").alias("rank"), F.floor(rn / 4 / 8).alias("microbatch"), (F.floor(rn / 4) % 8).alias("slot"))
 
 
 def rank_disjoint(spark, sf):
