@@ -23,11 +23,11 @@ NAME = "op2_bpe_encode_decode"
 ORACLE_SQL = None  # merges by rank are not expressible; tests compare with the public library
 
 #: Words kept in a worker's cache; it is emptied when full, and longer words are never kept.
-CACHE_WORDS, CACHE_CHARS = 800_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 #: Tokens whose strings are gathered at once.
 GATHER = 500_000
 #: Entries of the pair-compatibility table, which fills as pairs are met; it is emptied when full.
-TABLE_PAIRS = 1_000_000
+TABLE_PAIRS = 500_000
 
 
 def default_path() -> str:
@@ -117,7 +117,6 @@ class BpeTokenizer:
         self._strings = OffsetTable([strings.get(i, "") + " " for i in ids])
         self._digits = OffsetTable([f"{i} " for i in ids])
         self._cache = _Cache(self)
-        self._chunks = _Chunks(self)
         self._table = _Compatible(self._compatible)
 
     def _compatible(self, left: int, right: int, limit: int = 1 << 62) -> bool:
@@ -200,14 +199,14 @@ class BpeTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        chunks, out = self._chunks, []
+        cache, out = self._cache, []
         for i, part in enumerate(self._special_split.split(text)):
             if i % 2:
                 out.append(np.array([self._special[part]], "<i4").tobytes())
             elif self._outside.search(part):
-                out.extend([self._cache[w] for w in self._foreign_words(part)])
+                out.extend(map(cache.word, self._foreign_words(part)))
             else:  # no pre-token crosses white space
-                out.extend([chunks[c] for c in part.lower().split()])
+                out.extend([cache[c] for c in part.lower().split()])
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -257,34 +256,35 @@ class _Compatible(dict):
 
 
 class _Cache(dict):
-    """Word -> its ids as little-endian 32-bit numbers."""
+    """Pre-token, or run of characters between white space -> its ids as little-endian 32-bit numbers.
+
+    One table serves both, as a pre-token taken alone is its own only pre-token.
+    """
 
     def __init__(self, tokenizer: BpeTokenizer):
         self._tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._tokenizer.encode_word(word.encode("utf-8", "surrogateescape")), "<i4").tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+    def word(self, word: str) -> bytes:
+        """The ids of a pre-token."""
+        ids = self.get(word)
+        if ids is None:
+            ids = np.array(self._tokenizer.encode_word(word.encode("utf-8", "surrogateescape")), "<i4").tobytes()
+            self._keep(word, ids)
         return ids
 
-
-class _Chunks(dict):
-    """A run of characters between white space -> the ids of its pre-tokens, as in `_Cache`."""
-
-    def __init__(self, tokenizer: BpeTokenizer):
-        self._tokenizer = tokenizer
-
     def __missing__(self, chunk: str) -> bytes:
-        t = self._tokenizer
-        ids = b"".join([t._cache[w] for w in t._word.findall(chunk)])
-        if len(chunk) <= CACHE_CHARS:
+        words = self._tokenizer._word.findall(chunk)
+        if words == [chunk]:
+            return self.word(chunk)
+        ids = b"".join(map(self.word, words))
+        self._keep(chunk, ids)
+        return ids
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[chunk] = ids
-        return ids
+            self[key] = ids
 
 
 _loaded: dict[str, BpeTokenizer] = {}
