@@ -126,7 +126,7 @@ class ByteConvNet:
                     self.params[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def predict_texts(self, texts: list[str | None], rows: int = 512) -> list[tuple[str, float]]:
+    def predict_texts(self, texts: list[str | None], rows: int = 64) -> list[tuple[str, float]]:
         """Per text its language and probability; `und` with 0.0 if it has no letter."""
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         total = np.zeros((len(texts), max(1, len(self.classes))))
@@ -155,12 +155,12 @@ class ByteConvNet:
             if not letters[i]:
                 continue
             data = text.encode("utf-8")
-            for at in range(0, len(data), WINDOW * 4096):  # very long texts in pieces
-                x = windows(data[at : at + WINDOW * 4096])
+            for at in range(0, len(data), WINDOW * 1024):  # very long texts in pieces
+                x = windows(data[at : at + WINDOW * 1024])
                 waiting.append(x)
                 owners.append((i, len(x)))
                 held += len(x)
-                if held >= 8192:
+                if held >= 2048:
                     flush()
         flush()
         for i, has in enumerate(letters):
