@@ -23,11 +23,11 @@ NAME = "op2_bpe_encode_decode"
 ORACLE_SQL = None  # merges by rank are not expressible; tests compare with the public library
 
 #: Words kept in a worker's cache; it is emptied when full, and longer words are never kept.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 #: Tokens whose strings are gathered at once.
-GATHER = 500_000
+GATHER = 20_000
 #: Entries of the pair-compatibility table, which fills as pairs are met; it is emptied when full.
-TABLE_PAIRS = 500_000
+TABLE_PAIRS = 250_000
 
 
 def default_path() -> str:
