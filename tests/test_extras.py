@@ -198,7 +198,7 @@ def test_sweep_of_texts_shared_in_part_moves_few_rows(spark, tmp_path, monkeypat
         if before.isDefined():
             spark.sparkContext.setCheckpointDir(os.path.dirname(before.get()))
     assert found.dtypes == [("threshold", "int"), ("removed", "bigint")]
-    assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "state") for f in names) < 8_000_000
+    assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "state") for f in names) < 3_000_000
 
 
 def test_wide_pairs_are_those_of_plain_sets(spark):
